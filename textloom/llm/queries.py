@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, mixing, packing, quality
+from textloom.llm import exact_dedup, html_text, licenses, matroska, mixing, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,10 +19,27 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(_table(spark, sf_dir, "documents"))
+
+
+def op6_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """There is no table of media: every document is written as a timed-text Matroska file first."""
+    return matroska.packets(matroska.as_media(_table(spark, sf_dir, "documents")))
+
+
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -32,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op3_exact_dedup, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_exact_dedup, op5_licenses, op6_matroska, op7_html, op9_packing, op10_mixing)}
 
 
 _EXACT = """
