@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from textloom.llm.common import ID, TEXT, cut, n_words, narrow
 
 CAPACITY = 2048
-BUCKETS = 64
+BUCKETS = 16
 _PLAN = "len long, lo long, hi long, pack long, at long"
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, html_text, licenses, matroska, mixing, packing, pii, quality
+from textloom.llm import exact_dedup, html_text, licenses, matroska, mixing, near_dedup, packing, pii, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.join(_table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_pii, op3_exact_dedup, op5_licenses, op6_matroska, op7_html, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_exact_dedup, op5_licenses, op6_matroska, op7_html, op8_ngram_jaccard, op9_packing, op10_mixing)}
 
 
 _EXACT = """
@@ -57,6 +61,16 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS keep_id, n_rows
 FROM (SELECT doc_id, text, count(*) AS n_rows FROM documents WHERE text IS NOT NULL GROUP BY doc_id, text)
 """
 
+_JACCARD = r"""
+WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, text, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END)) AS grams FROM w WHERE len(w) > 0),
+r AS (SELECT doc_id, grams, min(doc_id) OVER same AS rep, row_number() OVER (same ORDER BY doc_id) AS place FROM s WINDOW same AS (PARTITION BY grams)),
+g AS (SELECT doc_id, len(grams) AS size, unnest(grams) AS gram FROM r WHERE place = 1),
+p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS both, a.size + b.size AS total FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT left_id, right_id, round(both / (total - both), 6) AS jaccard FROM p WHERE both >= 0.5 * (total - both)
+UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE place > 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _EXACT}
+    return {"op3_exact_dedup": _EXACT, "op8_ngram_jaccard": _JACCARD}
