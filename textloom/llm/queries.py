@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import exact_dedup, html_text, licenses, matroska, mixing, near_dedup, packing, pii, quality
+from textloom.llm import exact_dedup, html_text, licenses, matroska, mixing, near_dedup, packing, pii, quality, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality, op2_pii, op3_exact_dedup, op5_licenses, op6_matroska, op7_html, op8_ngram_jaccard, op9_packing, op10_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_exact_dedup, op4_suffix_array, op5_licenses, op6_matroska, op7_html, op8_ngram_jaccard, op9_packing, op10_mixing)}
 
 
 _EXACT = """
@@ -66,11 +70,21 @@ WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[a-z0-
 s AS (SELECT doc_id, text, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END)) AS grams FROM w WHERE len(w) > 0),
 r AS (SELECT doc_id, grams, min(doc_id) OVER same AS rep, row_number() OVER (same ORDER BY doc_id) AS place FROM s WINDOW same AS (PARTITION BY grams)),
 g AS (SELECT doc_id, len(grams) AS size, unnest(grams) AS gram FROM r WHERE place = 1),
-p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS both, a.size + b.size AS total FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT left_id, right_id, round(both / (total - both), 6) AS jaccard FROM p WHERE both >= 0.5 * (total - both)
+p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS shared, a.size + b.size AS total FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT left_id, right_id, round(shared / (total - shared), 6) AS jaccard FROM p WHERE shared >= 0.5 * (total - shared)
 UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE place > 1
 """
 
+_REPEATS = r"""
+WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(text, '\S+') AS w FROM documents WHERE text IS NOT NULL),
+x AS (SELECT doc_id, w, unnest(range(0, len(w) - 49)) AS p FROM w WHERE len(w) >= 50),
+h AS (SELECT doc_id, p, sha256(array_to_string(w[p + 1 : p + 50], ' ')) AS h FROM x),
+o AS (SELECT doc_id, p, count(*) OVER (PARTITION BY h) AS c, row_number() OVER (PARTITION BY h ORDER BY doc_id, p) > 1 AS is_copy FROM h),
+s AS (SELECT doc_id, p, is_copy, CASE WHEN p > lag(p) OVER (PARTITION BY doc_id, is_copy ORDER BY p) + 50 THEN 1 ELSE 0 END AS gap FROM o WHERE c > 1),
+g AS (SELECT doc_id, p, is_copy, sum(gap) OVER (PARTITION BY doc_id, is_copy ORDER BY p) AS span FROM s)
+SELECT doc_id, min(p) AS start_word, max(p) + 50 AS end_word, is_copy FROM g GROUP BY doc_id, is_copy, span
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": _EXACT, "op8_ngram_jaccard": _JACCARD}
+    return {"op3_exact_dedup": _EXACT, "op4_suffix_array": _REPEATS, "op8_ngram_jaccard": _JACCARD}
