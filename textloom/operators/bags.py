@@ -65,5 +65,5 @@ def heavy_hitters(df: DataFrame, column: str | Column, k: int) -> DataFrame:
 
 def approximate_heavy_hitters(df: DataFrame, column: str, k: int, counters: int = 4000) -> DataFrame:
     """The same with a bounded number of counters."""
-    top = df.agg(F.approx_top_k(column, F.lit(k), F.lit(counters)).alias("t")).select(F.explode("t").alias("x"))
+    top = df.agg(F.expr(f"approx_top_k(`{column}`, {int(k)}, {int(counters)})").alias("t")).select(F.explode("t").alias("x"))
     return top.select(F.col("x.item").alias("value"), F.col("x.count").alias("count"))

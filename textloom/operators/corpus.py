@@ -25,7 +25,8 @@ def first_run(df: DataFrame, key: str, order: str) -> DataFrame:
     place = ordinal(df, [order], "__pos")
     w = Window.partitionBy(key).orderBy("__pos")
     start = F.min("__pos").over(Window.partitionBy(key))
-    return place.withColumn("__n", F.row_number().over(w)).where(F.col("__pos") - start == F.col("__n") - 1).drop("__pos", "__n")
+    place = place.withColumn("__n", F.row_number().over(w)).withColumn("__start", start)
+    return place.where(F.col("__pos") - F.col("__start") == F.col("__n") - 1).drop("__pos", "__n", "__start")
 
 
 def ordinal(df: DataFrame, order: list[str | Column], name: str, buckets: int = 1024) -> DataFrame:
