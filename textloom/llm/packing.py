@@ -26,38 +26,35 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
     """Rows (len, lo, hi, first pack, offset) of a best-fit-decreasing packing of ``histogram``."""
     rows, packs = [], 0
     free: dict[int, list[tuple[int, int]]] = {}  # space left -> ranges (first pack, packs)
-    spaces: set[int] = set()
     for n in sorted(histogram, reverse=True):
         todo, rank = histogram[n], 0
-        fits = sorted(s for s in spaces if s >= n)
-        for s in fits:
-            while todo and free[s]:
-                first, many = free[s].pop()
-                take = min(todo, many)
-                rows.append((n, rank, rank + take, first, capacity - s))
-                if take < many:
-                    free[s].append((first + take, many - take))
-                if s > n:
-                    free.setdefault(s - n, []).append((first, take))
-                    spaces.add(s - n)
-                rank, todo = rank + take, todo - take
-            if not free[s]:
-                spaces.discard(s)
+
+        def fill(space: int, first: int, many: int) -> None:
+            """Pieces into a range of equal packs: the fullest pack is filled as far as it goes before the next is begun."""
+            nonlocal todo, rank
+            full, rest = divmod(min(todo, many * (space // n)), space // n)
+            for width, at, count in ((space // n, first, full), (rest, first + full, 1 if rest else 0)):
+                for j in range(width if count else 0):
+                    rows.append((n, rank, rank + count, at, capacity - space + j * n))
+                    rank, todo = rank + count, todo - count
+                if count and space - width * n:
+                    free.setdefault(space - width * n, []).append((at, count))
+            used = full + (1 if rest else 0)
+            if used < many:
+                free.setdefault(space, []).append((first + used, many - used))
+
+        for space in sorted(s for s in free if s >= n):
+            ranges = free.pop(space)
+            while ranges and todo:
+                fill(space, *ranges.pop())
+            if ranges:
+                free.setdefault(space, []).extend(ranges)
             if not todo:
                 break
-        per = capacity // n
-        # what is left opens new packs, each taking as many of this length as it holds
-        full, rest = divmod(todo, per)
-        for width, many in ((per, full), (rest, 1 if rest else 0)):
-            if many:
-                for j in range(width):
-                    rows.append((n, rank, rank + many, packs, j * n))
-                    rank += many
-                left = capacity - width * n
-                if left:
-                    free.setdefault(left, []).append((packs, many))
-                    spaces.add(left)
-                packs += many
+        if todo:
+            new = -(-todo // (capacity // n))
+            first, packs = packs, packs + new
+            fill(capacity, first, new)
     return rows
 
 
