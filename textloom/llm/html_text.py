@@ -249,6 +249,13 @@ def _table(node: Node, depth: int) -> list[str]:
             if span == 1:
                 width[at] = max(width[at], len(cell))
             at += span
+    for row in rows:  # a spanning cell that needs more widens its last column
+        at = 0
+        for cell, span in row:
+            have = sum(width[at : at + span]) + 2 * (span - 1)
+            if len(cell) > have:
+                width[at + span - 1] += len(cell) - have
+            at += span
     lines = caption
     for row in rows:
         at, parts = 0, []

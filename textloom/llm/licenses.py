@@ -7,7 +7,7 @@ beginning at q - p. Votes for nearly the same beginning are joined, and where en
 has voted, the template's mandatory key phrases must follow each other word for word in that stretch.
 
 Defined results: words are runs of letters and digits, case ignored; null and empty texts match nothing; of
-matches that overlap the one with most votes stays; a license found twice in a text is reported twice; repeated
+matches that overlap the one that covers most words stays; a license found twice in a text is reported twice; repeated
 rows are reported again; other columns are ignored; no documents give no rows.
 """
 
@@ -192,7 +192,8 @@ def scan(texts: pa.Array, ix: Index, share: float = SHARE) -> list[tuple[int, in
             e = min(int(begin[tail[k]]) + int(ix.length[t]), int(first[d + 1]))
             a, z = max(s - SLACK, int(first[d])), min(e + SLACK, int(first[d + 1]))
             if all(_within(h[a:z], p) for p in ix.phrases[t]):
-                found.setdefault(d, []).append((-votes[k], s - int(first[d]), e - int(first[d]), t, float(votes[k] / ix.total[t])))
+                share_ = float(votes[k] / ix.total[t])
+                found.setdefault(d, []).append((-share_ * ix.length[t], s - int(first[d]), e - int(first[d]), t, share_))
         for d, ms in found.items():
             kept: list = []
             for v, s, e, t, sh in sorted(ms):

@@ -126,22 +126,26 @@ def _tree(g: np.ndarray, h: np.ndarray, depth: int, lam: float) -> np.ndarray:
     return np.concatenate([_tree(g[:k], h[:k], depth - 1, lam), _tree(g[k:], h[k:], depth - 1, lam)])
 
 
-def _tree2(g: np.ndarray, h: np.ndarray, depth: int, lam: float) -> tuple[np.ndarray, float]:
-    """The same over a grid; each cut takes the better axis. Also the gain."""
-    best, axis, k = 0.0, 0, 0
-    if depth:
-        for a in (0, 1):
-            gain, at = _split(g.sum(1 - a), h.sum(1 - a), lam)
-            if gain > best:
-                best, axis, k = gain, a, at
-        if best <= 1e-12 and depth > 1 and min(g.shape) > 1:  # a pure interaction shows in no margin: cut in the middle
-            axis, k = 0, g.shape[0] // 2
-    if not k:
+def _tree2(g: np.ndarray, h: np.ndarray, lam: float) -> tuple[np.ndarray, float]:
+    """The same over a grid: the best of all trees with one cut on each axis (their four leaves), and its gain. Both cuts are
+    sought together, since a pure interaction shows in neither axis alone."""
+    n, m = g.shape
+    if n < 2 or m < 2:
         return np.full(g.shape, -g.sum() / (h.sum() + lam)), g.sum() ** 2 / (h.sum() + lam)
-    cut_ = (slice(None, k), slice(None)) if axis == 0 else (slice(None), slice(None, k))
-    rest = (slice(k, None), slice(None)) if axis == 0 else (slice(None), slice(k, None))
-    (x, gx), (y, gy) = _tree2(g[cut_], h[cut_], depth - 1, lam), _tree2(g[rest], h[rest], depth - 1, lam)
-    return np.concatenate([x, y], axis), gx + gy
+
+    def quarters(x):
+        c = x.cumsum(0).cumsum(1)
+        a = c[:-1, :-1]
+        left, top = c[:-1, -1:] - a, c[-1:, :-1] - a
+        return np.stack([a, left, top, c[-1, -1] - a - left - top])
+
+    G, H = quarters(g), quarters(h)
+    gain = (G**2 / (H + lam)).sum(0)
+    i, j = np.unravel_index(int(np.argmax(gain)), gain.shape)
+    leaf = -G[:, i, j] / (H[:, i, j] + lam)
+    out = np.empty(g.shape)
+    out[: i + 1, : j + 1], out[: i + 1, j + 1 :], out[i + 1 :, : j + 1], out[i + 1 :, j + 1 :] = leaf
+    return out, float(gain[i, j])
 
 
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60, rate: float = 0.2, depth: int = 2, n_pairs: int = 6, pair_rounds: int = 20, lam: float = 1.0) -> Model:
@@ -172,12 +176,12 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 60, rate: fl
         code, n = b[:, i] * size[j] + b[:, j], size[i] * size[j]
         return np.bincount(code, g, n).reshape(size[i], size[j]), np.bincount(code, h, n).reshape(size[i], size[j]), code
 
-    gains = sorted(((_tree2(*grid(i, j)[:2], 2, lam)[1], i, j) for i in range(len(size)) for j in range(i)), reverse=True)
+    gains = sorted(((_tree2(*grid(i, j)[:2], lam)[1], i, j) for i in range(len(size)) for j in range(i)), reverse=True)
     m.pairs = [(i, j, np.zeros((size[i], size[j]))) for _, i, j in gains[:n_pairs]]
     for _ in range(pair_rounds):
         for i, j, table in m.pairs:
             g, h, code = grid(i, j)
-            t = rate * _tree2(g, h, 2, lam)[0]
+            t = rate * _tree2(g, h, lam)[0]
             table += t
             f += t.ravel()[code]
     return m
