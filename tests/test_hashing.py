@@ -70,3 +70,8 @@ def test_names(spark):
     order = sorted(["google", "play", "services", "end"], key=lambda x: GOLDEN.get(x, murmur(x.encode())))
     assert names == [f"$$propername{order.index(x)}$$" for x in ("google", "play", "services")]
     assert got[1][0].endswith("now end") and got[2] == ["only one row"] and got[3] == ["foo", "bar"]
+
+
+def test_murmur3(spark):
+    assert [hashing.murmur3_bytes(x) for x in (b"", b"test", b"Hello, world!")] == [0, 0xBA6BD213, 0xC0363E43]
+    assert [r.h for r in spark.createDataFrame([("test",), (None,)], "s string").select(hashing.murmur3(F.col("s")).alias("h")).collect()] == [0xBA6BD213, None]

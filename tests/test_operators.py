@@ -160,3 +160,8 @@ def test_logs(spark):
     assert [r.n for r in attempts.unseen(items, spark.createDataFrame([(" a ",)], "n string"), "n").collect()] == ["b"]
     d = spark.createDataFrame([(0, "x"), (1, "m"), (2, "y")], "o int, k string")
     assert sorted(r.k for r in attempts.after_marker(d, "k", "o", "m").collect()) == ["m", "y"]
+
+
+def test_sentence_vectors(spark):
+    d = spark.createDataFrame([(["a", "b", "c"],), (["a", "c"],)] * 5, "t array<string>")
+    assert {len(r.vector) for r in vectors.sentence_vectors(d, "t", size=8, min_count=1).collect()} == {8}

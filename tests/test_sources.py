@@ -149,3 +149,22 @@ def test_records_of_pages(spark):
     assert r[0].m == {"a": "2", "b": "c"}
     p = spark.range(1).select(html.proxies(F.lit("x 1.2.3.4:80 y 5.6.7.8:3128")).alias("p")).first()["p"]
     assert [(x.host, x.port) for x in p] == [("1.2.3.4", 80), ("5.6.7.8", 3128)]
+
+
+def test_styles():
+    assert resources.styled("a < b c", [("b", 0, 0), ("i", 0, 4), ("a;href=x", 6, 6)]) == '<i><b>a</b> &lt; b</i> <a href="x">c</a>'
+    data = b"\x03\x03abc\0" + b"\x01\x01b\0" + b"\0\0"
+    start = 28 + 4 * 3
+    spans = struct.pack("<4I", 1, 0, 1, 0xFFFFFFFF)
+    chunk = struct.pack("<HHI5I", 1, 28, start + len(data) + len(spans), 2, 1, 0x100, start, start + len(data)) + struct.pack("<3I", 0, 6, 0) + data + spans
+    assert resources.string_pool(chunk, 0) == ["abc", "b"] and resources.string_styles(chunk, 0) == [[("b", 0, 1)]]
+
+
+def test_points_and_logs(spark, tmp_path):
+    files.write_points(spark.createDataFrame([(5, 9), (4, 8), (6, 8)], "x long, y long"), f"{tmp_path}/p")
+    assert [(r.x, r.y) for r in spark.read.parquet(f"{tmp_path}/p/points").orderBy("z").collect()] == [(4, 8), (5, 9), (6, 8)]
+    assert tuple(spark.read.parquet(f"{tmp_path}/p/extent").first()) == (6, 4, 9, 8)
+    for _ in range(2):
+        files.append_log(spark.range(1), f"{tmp_path}/l")
+    assert spark.read.parquet(f"{tmp_path}/l").count() == 2
+    assert spark.range(1).select(F.lit(None).cast(resources.SIGNATURE), F.lit(None).cast(resources.CODE_CLASS)).count() == 1

@@ -97,3 +97,33 @@ def combine(hashes: Column) -> Column:
     wrap = lambda x: ((x.bitwiseAND(F.lit(0xFFFFFFFF).cast("long")) + F.lit(2**31)) % F.lit(2**32)) - F.lit(2**31)
     step = lambda a, x: wrap(a.bitwiseXOR(x.cast("long") + F.lit(0x9E3779B9).cast("long") + F.shiftleft(a.bitwiseAND(F.lit(0x3FFFFFF).cast("long")), 6) + F.shiftright(a, 2)))
     return F.aggregate(hashes, F.lit(0).cast("long"), step).cast("int")
+
+
+def murmur3_bytes(data: bytes, seed: int = 0) -> int:
+    """MurmurHash3 x86_32 of a byte string, unsigned."""
+    mask = 0xFFFFFFFF
+    h, n = seed & mask, len(data) // 4 * 4
+
+    def scramble(k: int) -> int:
+        k = k * 0xCC9E2D51 & mask
+        return (k << 15 | k >> 17) * 0x1B873593 & mask
+
+    for i in range(0, n, 4):
+        h ^= scramble(int.from_bytes(data[i : i + 4], "little"))
+        h = (h << 13 | h >> 19) & mask
+        h = (h * 5 + 0xE6546B64) & mask
+    if len(data) > n:
+        h ^= scramble(int.from_bytes(data[n:], "little"))
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    return h ^ h >> 16
+
+
+def murmur3(text: Column, seed: int = 0) -> Column:
+    """The 32-bit key of a text in a constant database, as a long; null for null."""
+
+    def run(col: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else murmur3_bytes(x, seed) for x in col.cast(pa.binary()).to_pylist()], pa.int64())
+
+    return F.arrow_udf(run, "long")(text)

@@ -174,3 +174,15 @@ def xml_value(text: Column) -> Column:
         x = F.replace(x, F.lit(chr(code)), F.lit(f"\\u{code:04x}"))
     quote = text.rlike(r"'|\n|^ | \z|  ")
     return xml_escape(F.when(quote, F.concat(F.lit('"'), x, F.lit('"'))).otherwise(x))
+
+
+def xml_attributes(xml: Column, name: str) -> Column:
+    """All values of an attribute in an XML text, in document order."""
+    return F.xpath(xml, F.lit(f"//@{name}"))
+
+
+def merge_maps(*maps: Column) -> Column:
+    """One map of several; of equal keys the last wins, whatever the session's policy."""
+    entries = F.concat(*[F.coalesce(F.map_entries(m), F.expr("cast(array() as array<struct<key:string,value:string>>)")) for m in maps])
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1_000_000), lambda f: f["key"] == e["key"]))
+    return F.map_from_entries(last)

@@ -88,3 +88,12 @@ def suggest(near: DataFrame, ambiguity: DataFrame, strings: DataFrame, k: int) -
     w = Window.partitionBy("query").orderBy(F.asc_nulls_first("score"), "rank")
     j = j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
     return j.join(strings.select(F.col("id").alias("neighbour"), "text"), "neighbour", "left").select("query", "place", "neighbour", "distance", "score", "text")
+
+
+def sentence_vectors(df: DataFrame, tokens: str, size: int = 100, min_count: int = 5, passes: int = 1, seed: int = 1, partitions: int = 1) -> DataFrame:
+    """``df`` with ``vector``: the mean of word vectors trained on the same sentences (lists of tokens)."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    m = Word2Vec(vectorSize=size, minCount=min_count, maxIter=passes, seed=seed, numPartitions=partitions, inputCol=tokens, outputCol="__v").fit(df)
+    return m.transform(df).withColumn("vector", vector_to_array("__v", "float32")).drop("__v")

@@ -246,3 +246,34 @@ def html_archive_split(t: Tables) -> DataFrame:
     a = d.groupBy(F.expr("doc_id div 100").alias("file")).agg(rows.alias("r")).select(F.transform("r", lambda x: x["doc_id"]).alias("ids"), F.array_join(F.transform("r", lambda x: F.concat(x["text"], F.lit("</html>"))), "").alias("archive"))
     p = a.select("ids", F.posexplode(files.split_pages(F.col("archive"))).alias("i", "html"))
     return p.select(F.element_at("ids", F.col("i") + 1).alias("doc_id"), (F.col("i") + 1).cast("long").alias("page"), "html")
+
+
+@query(f"SELECT DISTINCT trim({CLEAN}) AS clean, '-' || lang || chr(9) || text AS raw FROM documents WHERE trim({CLEAN}) <> ''")
+def clean_to_raw(t: Tables) -> DataFrame:
+    """Cleaned strings with the raw strings they came from, joined through their hashes."""
+    d = t("documents").withColumn("locale", F.concat(F.lit("-"), "lang"))
+    out = corpus.clean_corpus(d, "source", "doc_id", "locale", "text")
+    clean = corpus.index_build(out["clean"], "clean").select(F.col("hash").alias("clean_hash"), F.col("value").alias("clean"))
+    raw = corpus.index_build(d.select(F.concat("locale", F.lit("\t"), "text").alias("raw")), "raw").select(F.col("hash").alias("raw_hash"), F.col("value").alias("raw"))
+    return out["pairs"].distinct().join(clean, "clean_hash").join(raw, "raw_hash").select("clean", "raw")
+
+
+@query("SELECT event_id, 'a=1 b=' || event_type || ' k=' || user_id AS merged FROM events")
+def map_merge(t: Tables) -> DataFrame:
+    """Maps merged, the last one winning."""
+    m = text.merge_maps(F.create_map(F.lit("a"), F.lit("1"), F.lit("k"), F.lit("0")), F.create_map(F.lit("b"), F.col("event_type"), F.lit("k"), F.col("user_id").cast("string")))
+    e = F.array_sort(F.map_entries(m))
+    return t("events").select("event_id", F.array_join(F.transform(e, lambda x: F.concat(x["key"], F.lit("="), x["value"])), " ").alias("merged"))
+
+
+@query("SELECT c_custkey, c_mktsegment, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS inverse FROM customer")
+def unique_inverse(t: Tables) -> DataFrame:
+    """Every value with its place among the different values."""
+    return bags.dense_ids(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "inverse").select("c_custkey", "c_mktsegment", "inverse")
+
+
+@query("SELECT page_id, 'v' || page_id AS value FROM pages")
+def xml_attribute_scan(t: Tables) -> DataFrame:
+    """An attribute's values in XML texts."""
+    xml = F.concat(F.lit('<r><a useragent="v'), F.col("page_id").cast("string"), F.lit('"/><a/></r>'))
+    return t("pages").select("page_id", F.explode(text.xml_attributes(xml, "useragent")).alias("value"))

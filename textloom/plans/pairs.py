@@ -204,6 +204,12 @@ def knn_angular(t: Tables) -> DataFrame:
     return vectors.neighbours(t("embeddings"), t("embeddings"), "vec_id", "embedding", 10)
 
 
+@query(f"{_KNN.replace('rank <= 10', 'rank <= 20')} SELECT query, neighbour FROM near")
+def autocomplete(t: Tables) -> DataFrame:
+    """The twenty neighbours of every vector."""
+    return vectors.neighbours(t("embeddings"), t("embeddings"), "vec_id", "embedding", 20).select("query", "neighbour")
+
+
 @query()
 def knn_lsh(t: Tables) -> DataFrame:
     """The same by hashing (tests hold its recall against the exact answer)."""

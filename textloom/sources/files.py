@@ -192,3 +192,19 @@ def manifest(text: Column) -> Column:
         return pa.array(out, pa.map_(pa.string(), pa.map_(pa.string(), pa.string())))
 
     return F.arrow_udf(run, "map<string,map<string,string>>")(text)
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Write points (x, y) in z-order of their distances from the least, and their extent beside them."""
+    from textloom.functions.hashing import z_order
+
+    extent = points.agg(F.max("x").alias("max_x"), F.min("x").alias("min_x"), F.max("y").alias("max_y"), F.min("y").alias("min_y"))
+    extent.write.mode("overwrite").parquet(f"{path}/extent")
+    e = points.sparkSession.read.parquet(f"{path}/extent")
+    z = points.crossJoin(F.broadcast(e)).select("x", "y", z_order(F.col("x") - F.col("min_x"), F.col("y") - F.col("min_y")).alias("z"))
+    z.repartitionByRange("z").sortWithinPartitions("z").write.mode("overwrite").parquet(f"{path}/points")
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append to a manifest of what has been stored where."""
+    rows.write.mode("append").parquet(path)

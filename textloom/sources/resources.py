@@ -161,3 +161,45 @@ def _all(tables: pa.Array) -> pa.Array:
 def resource_strings(table: Column) -> Column:
     """The string resources of a compiled table, null where the bytes are none."""
     return F.arrow_udf(_all, STRINGS)(table)
+
+
+def styled(text: str, spans: list[tuple[str, int, int]]) -> str:
+    """A pooled string with its style spans (tag with ``;name=value`` attributes, first and last character) as markup."""
+    from html import escape
+
+    opens: dict[int, list[tuple[int, str]]] = {}
+    for tag, first, last in spans:
+        opens.setdefault(first, []).append((last, tag))
+    out, stack = [], []
+    for i, c in enumerate(text):
+        for last, tag in sorted(opens.get(i, []), key=lambda x: -x[0]):
+            name, *attrs = tag.split(";")
+            out.append(f"<{name}" + "".join(f' {k}="{escape(v)}"' for k, _, v in (a.partition("=") for a in attrs)) + ">")
+            stack.append((last, name))
+        out.append(escape(c, quote=False))
+        while stack and stack[-1][0] <= i:
+            out.append(f"</{stack.pop()[1]}>")
+    out.extend(f"</{name}>" for _, name in reversed(stack))
+    return "".join(out)
+
+
+def string_styles(b: bytes, at: int) -> list[list[tuple[str, int, int]]]:
+    """The style spans of the pool chunk at ``at``, for each of its styled strings."""
+    count, styles, _, _, start = struct.unpack_from("<5I", b, at + 8)
+    (head,) = struct.unpack_from("<H", b, at + 2)
+    names, out = string_pool(b, at), []
+    for i in range(styles):
+        p = at + start + struct.unpack_from("<I", b, at + head + 4 * (count + i))[0]
+        spans = []
+        while struct.unpack_from("<I", b, p)[0] != 0xFFFFFFFF:
+            name, first, last = struct.unpack_from("<3I", b, p)
+            spans.append((names[name], first, last))
+            p += 12
+        out.append(spans)
+    return out
+
+
+#: The record of a signature check; certificates' times are milliseconds made timestamps.
+SIGNATURE = "struct<verified:boolean,certs:array<struct<subject:string,issuer:string,not_after:timestamp,not_before:timestamp,algorithm:string,format:string,key:binary>>,warnings:array<string>,errors:array<string>>"
+#: The record of a class in a code model.
+CODE_CLASS = "struct<name:string,super:string,interfaces:array<string>,access:array<string>,source:string,annotations:array<struct<type:string,visibility:string,elements:map<string,string>>>,fields:array<struct<name:string,type:string,access:array<string>>>,methods:array<struct<name:string,parameters:array<string>,returns:string,access:array<string>,hash:int>>>"
