@@ -50,6 +50,22 @@ def test_brute_force(spark, n, t, monkeypatch):
     assert pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n, t) == brute(rows, n, t)
 
 
+def test_large_families_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(nd, "HEAVY", 6)
+    random.seed(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for _ in range(3):  # sizes are equal: only the order of arrival tells the sides of a pair apart
+            w[random.randrange(60)] = f"x{random.randrange(40)}"
+        rows.append((i, " ".join(w)))
+    want = brute(rows, 3, 0.6)
+    for parts in (1, 5):
+        random.shuffle(rows)
+        assert pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), 3, 0.6) == want
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.lineage import cut, shared_folder  # noqa: F401  (for the operators)
+
 ID, TEXT = "__id", "__text"
 
 
@@ -32,26 +34,6 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; only in local mode, where the setting may
-    be absent, a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        sc = spark.sparkContext
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="textloom-")
-    return where
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared checkpoint folder and read it from there."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -130,7 +112,7 @@ def tokens(values: np.ndarray, offsets: np.ndarray, keep: np.ndarray = WORD) ->
     return h, np.searchsorted(starts, offsets), starts, ends
 
 
-def chunks(arr: pa.Array | pa.ChunkedArray, limit: int = 2_000_000):
+def chunks(arr: pa.Array | pa.ChunkedArray, limit: int = 1_000_000):
     """(first row, rows) slices of ``arr`` of about ``limit`` bytes each; a longer text is a slice of its own."""
     _, offsets = flat(arr)
     n, i = len(offsets) - 1, 0
@@ -158,3 +140,12 @@ def grams(h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 def hash_of(tok: str) -> int:
     """Hash of one token, as ``tokens`` gives it."""
     return int(tokens(*flat(pa.array([tok])), np.ones(256, bool))[0][0])
+
+
+def trim() -> None:
+    """Give memory that Arrow and the allocator hold for later back to the system; several workers share an executor's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass

@@ -31,13 +31,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import ALNUM, ID, TEXT, chunks, cut, flat, fresh, grams, mix, narrow, shuffle_partitions, tokens
+from textloom.llm.common import ALNUM, ID, TEXT, chunks, cut, flat, fresh, grams, mix, narrow, shuffle_partitions, tokens, trim
 
 N = 3
 THRESHOLD = 0.5
 FREQUENT = 1_000_000
 HEAVY = 64
-PARTS = 4
+PARTS = 2
+FIRST = 4
 BROADCAST_ROWS = 1_000_000
 
 
@@ -48,9 +49,8 @@ def _least(size: np.ndarray | int, threshold: float):
 
 def sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For slices of the texts: their first row, the different n-grams of each text (by row, then n-gram), and their rows."""
-    low = pc.utf8_lower(texts)
-    for i, j in chunks(low):
-        h, first, _, _ = tokens(*flat(low.slice(i, j - i)), ALNUM)
+    for i, j in chunks(texts):
+        h, first, _, _ = tokens(*flat(pc.utf8_lower(texts.slice(i, j - i))), ALNUM)
         g, doc = grams(h, first, n)
         count = np.diff(first)
         short = np.flatnonzero((count > 0) & (count < n))
@@ -81,16 +81,23 @@ def _pieces(part: np.ndarray, key: np.ndarray, *cols: np.ndarray) -> Iterator[tu
         yield int(part[s]), k[head], np.diff(np.append(head, len(k))), [c[s:e] for c in cols]
 
 
-def _five(g: np.ndarray) -> bytes:
-    return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _narrow(x: np.ndarray, n: int) -> bytes:
+    """The low ``n`` bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
-def _unfive(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
+def _wide(b: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(b) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(b, np.uint8).reshape(-1, n)
     return out.view("<u8").ravel()
 
 
+def _short(g: np.ndarray, parts: int) -> np.ndarray:
+    """An n-gram by its fragment and 32 bits. Two n-grams may share this, which only ever adds candidates; with fragments as
+    many as the corpus asks for it stays as rare as it is."""
+    return _fragment(g, parts).astype(np.uint64) << np.uint64(32) | g & np.uint64(0xFFFFFFFF)
+
+
 def _fragment(g: np.ndarray, parts: int) -> np.ndarray:
     """The fragment of each n-gram: equal ranges of the hash."""
     return ((g >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.int32)
@@ -100,12 +107,13 @@ def _fragment(g: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _post_all(n: int, parts: int):
-    """Documents -> for each fragment, its documents with their n-grams (40 bits: a clash can only let a document through);
-    under fragment -1 the documents with size and two signatures of the set."""
+    """Documents -> for each fragment, its documents (40 bits of their key) with their n-grams (32 bits); under fragments
+    -1, -2 .. the documents with size and two signatures of the set. What is cut short can only let a document through."""
     names = ["part", "k", "ids", "count", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            trim()
             rows: list[list] = [[] for _ in names]
             keys, ids = b.column(0).to_numpy(zero_copy_only=False), pc.fill_null(b.column(1), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
             for i, g, doc in sets(b.column(2), n):
@@ -113,68 +121,113 @@ def _post_all(n: int, parts: int):
                     continue
                 head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 own = doc[head] + i
-                sig = np.stack([np.add.reduceat(mix(g ^ np.uint64(0x5851F42D4C957F2D)), head), np.add.reduceat(mix(g + np.uint64(0x14057B7EF767814F)), head)])
-                for c, v in zip(rows, (-1 - int(keys[own[0]] % parts), keys[own].tobytes(), ids[own].tobytes(), np.diff(np.append(head, len(g))).astype(np.int32).tobytes(), sig.tobytes())):
-                    c.append(v)
+                size = np.diff(np.append(head, len(g))).astype(np.int32)
+                sig = np.stack([np.add.reduceat(mix(g ^ np.uint64(0x5851F42D4C957F2D)), head), np.add.reduceat(mix(g + np.uint64(0x14057B7EF767814F)), head)], 1)
+                for p, k, _, (o,) in _pieces(_home(keys[own], parts), np.arange(len(own)), np.arange(len(own))):
+                    for c, v in zip(rows, (-1 - p, keys[own[o]].tobytes(), ids[own[o]].tobytes(), size[o].tobytes(), np.ascontiguousarray(sig[o]).tobytes())):
+                        c.append(v)
                 for p, k, c, (x,) in _pieces(_fragment(g, parts), keys[doc + i], g):
-                    for col, v in zip(rows, (p, k.tobytes(), b"", c.astype(np.int32).tobytes(), _five(x))):
+                    for col, v in zip(rows, (p, _narrow(k, 5), b"", _counts(c), _narrow(x, 4))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=names)
 
     return run, "part int, k binary, ids binary, count binary, grams binary"
 
 
+def _home(keys: np.ndarray, parts: int) -> np.ndarray:
+    """The part of the documents that a document belongs to, by the 40 bits of its key."""
+    return ((keys.astype(np.uint64) & np.uint64((1 << 40) - 1)) % np.uint64(parts)).astype(np.int32)
+
+
+def _counts(c: np.ndarray) -> bytes:
+    """Counts in two bytes each; a larger one takes 65535 and then four bytes at the end."""
+    big = c >= 65535
+    return np.where(big, 65535, c).astype("<u2").tobytes() + c[big].astype("<u4").tobytes()
+
+
+def _uncounts(b: bytes, n: int) -> np.ndarray:
+    c = np.frombuffer(b, "<u2", n).astype(np.int64)
+    c[c == 65535] = np.frombuffer(b, "<u4", offset=2 * n)
+    return c
+
+
 def _join(col: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype)
 
 
-def _shared(n: int):
-    """A fragment -> for its documents, how many of their n-grams have others too; and its frequent n-grams."""
-    schema = pa.schema([("k", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("shared", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("gram", pa.int64()), ("df", pa.int64())])
-
-    def table(**c) -> pa.Table:
-        m = len(next(iter(c.values())))
-        return pa.table([pa.array(c[f.name], f.type) if f.name in c else pa.nulls(m, f.type) for f in schema], schema=schema)
+def _shared(parts: int):
+    """A fragment -> how many of its n-grams a document has that others have too, packed by parts of the documents; and the
+    fragment's frequent n-grams, under part -1. Sizes pass through."""
+    names = ["home", "k", "ids", "count", "grams"]
+    kind = pa.schema([("home", pa.int32()), *[(n, pa.binary()) for n in names[1:]]])
 
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:
-            sig = [np.frombuffer(x, np.int64).reshape(2, -1) for x in t["grams"].to_pylist()]
-            sig = np.concatenate(sig, axis=1)
-            return table(k=_join(t["k"], np.int64), id=_join(t["ids"], np.int64), size=_join(t["count"], np.int32).astype(np.int64), s1=sig[0], s2=sig[1])
-        k = np.repeat(_join(t["k"], np.int64), _join(t["count"], np.int32))
-        g = _unfive(b"".join(t["grams"].to_pylist()))
+        trim()
+        part = key[0].as_py()
+        if part < 0:
+            return t.set_column(0, "home", pa.array(np.full(len(t), -1 - part, np.int32)))
+        ks = t["k"].to_pylist()
+        c = np.concatenate([_uncounts(x, len(k) // 5) for k, x in zip(ks, t["count"].to_pylist())])
+        who, number = np.unique(_wide(b"".join(ks), 5), return_inverse=True)
+        doc = np.repeat(number.astype(np.int32), c)
+        g = np.frombuffer(b"".join(t["grams"].to_pylist()), "<u4")
         order = np.argsort(g, kind="stable")
-        g, k = g[order], k[order]
-        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        g, doc = g[order], doc[order]
+        times = np.diff(np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), len(g)))
+        many = np.repeat(times > 1, times)
         # a repeated row posts its n-grams again; it is one document all the same
-        run_ = np.diff(np.append(head, len(g)))
-        many = np.repeat(run_ > 1, run_)
-        if many.any():
-            gm, km = g[many], k[many]
-            o = np.lexsort((km, gm))
-            gm, km = gm[o], km[o]
-            once = np.ones(len(gm), bool)
-            once[1:] = (gm[1:] != gm[:-1]) | (km[1:] != km[:-1])
-            gm, km = gm[once], km[once]
-            hm = np.flatnonzero(np.concatenate(([True], gm[1:] != gm[:-1])))
-            df = np.diff(np.append(hm, len(gm)))
-            who, c = np.unique(km[np.repeat(df > 1, df)], return_counts=True)
-            hot = df >= HEAVY
-            return pa.concat_tables([table(k=who, shared=c), table(gram=gm[hm[hot]].astype(np.int64), df=df[hot])])
-        return schema.empty_table()
-
-    return run, "k long, id long, size long, shared long, s1 long, s2 long, gram long, df long"
+        pair = np.unique(g[many].astype(np.uint64) << np.uint64(32) | doc[many].astype(np.uint64))
+        g, doc = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, int)
+        df = np.diff(np.append(head, len(g)))
+        n = np.bincount(doc[np.repeat(df > 1, df)], minlength=len(who))
+        some = np.flatnonzero(n)
+        out: list[list] = [[] for _ in names]
+        for p, _, _, (o,) in _pieces(_home(who[some], parts), some, some):
+            for col, v in zip(out, (p, _narrow(who[o], 5), b"", _counts(n[o]), b"")):
+                col.append(v)
+        hot = df >= HEAVY
+        for col, v in zip(out, (-1, b"", b"", df[hot].astype(np.int32).tobytes(), (g[head[hot]] | part << 32).astype(np.int64).tobytes())):
+            col.append(v)
+        return pa.table([pa.array(x, f.type) for x, f in zip(out, kind)], schema=kind)
+
+    return run, "home int, k binary, ids binary, count binary, grams binary"
+
+
+def _sum_shared(t: pa.Table) -> pa.Table:
+    """One part of the documents: with each its size, its signatures and how many of its n-grams others have too."""
+    rows = t.to_pylist()
+    whole = [r for r in rows if r["ids"]]
+    part = [r for r in rows if not r["ids"]]
+    cat = lambda f, d, rs: np.frombuffer(b"".join(r[f] for r in rs), d)
+    k, at = np.unique(cat("k", np.int64, whole), return_index=True)
+    ids, size, sig = cat("ids", np.int64, whole)[at], cat("count", np.int32, whole)[at], cat("grams", np.int64, whole).reshape(-1, 2)[at]
+    key = k.astype(np.uint64) & np.uint64((1 << 40) - 1)
+    who = np.unique(key)
+    at = np.searchsorted(who, _wide(b"".join(r["k"] for r in part), 5))
+    n = np.bincount(at, np.concatenate([np.zeros(0), *[_uncounts(r["count"], len(r["k"]) // 5) for r in part]]), len(who)).astype(np.int64)
+    return pa.table({"k": k, "id": ids, "size": size.astype(np.int64), "shared": n[np.searchsorted(who, key)], "s1": sig[:, 0], "s2": sig[:, 1]})
+
+
+def _unpack_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols = [np.concatenate([np.zeros(0, d), *[np.frombuffer(x, d) for x in b.column(i).to_pylist()]]) for i, d in ((0, np.int64), (1, np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int64))], names=["gram", "df"])
 
 
 # --------------------------------------------------------------------------- 2. candidates
 
 
-def _post_prefix(n: int, threshold: float, parts: int, frequent: np.ndarray, df: np.ndarray):
-    """Documents -> for each fragment, the postings of the prefixes. The order: n-grams in the frequent list last, by their count."""
-    names = ["part", "k", "size", "grams"]
+def _post_prefix(n: int, threshold: float, parts: int, frequent: np.ndarray, df: np.ndarray, listed: int):
+    """Documents -> for each fragment, the postings of the prefixes (40 bits: a clash only adds a candidate), and with each
+    document ``FIRST`` n-grams of its prefix, the first by an order that takes the frequent ones first.
+
+    The order of the prefix: n-grams in the frequent list (made with ``listed`` fragments) last, by their count."""
+    names = ["part", "k", "size", "count", "first", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            trim()
             rows: list[list] = [[] for _ in names]
             keys = b.column(0).to_numpy(zero_copy_only=False)
             for i, g, doc in sets(b.column(1), n):
@@ -182,25 +235,29 @@ def _post_prefix(n: int, threshold: float, parts: int, frequent: np.ndarray, df:
                     continue
                 often = np.zeros(len(g), np.int64)
                 if len(frequent):
-                    low = g & np.uint64((1 << 40) - 1)
+                    low = _short(g, listed)
                     at = np.searchsorted(frequent, low).clip(max=len(frequent) - 1)
                     often = np.where(frequent[at] == low, df[at], 0)
                 order = np.lexsort((g, often, doc))
-                g, doc = g[order], doc[order]
+                g, doc, often = g[order], doc[order], often[order]
                 head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 size = np.diff(np.append(head, len(g)))
-                place = np.arange(len(g)) - np.repeat(head, size)
-                size = np.repeat(size, size)
-                keep = place <= size - _least(size, threshold)
-                for p, k, c, (x, s) in _pieces(_fragment(g[keep], parts), keys[doc[keep] + i], g[keep], size[keep]):
-                    for col, v in zip(rows, (p, np.repeat(k, c).tobytes(), s.astype(np.int32).tobytes(), x.tobytes())):
+                prefix = size - _least(size, threshold) + 1
+                keep = np.arange(len(g)) - np.repeat(head, size) < np.repeat(prefix, size)
+                own = np.repeat(np.arange(len(head)), size)[keep]  # documents by their place in this slice
+                g, often, who = g[keep], often[keep], doc[head]
+                order = np.lexsort((g, often, often == 0, own))
+                # where a prefix has fewer, the last of them again
+                first = g[order][(np.cumsum(prefix) - prefix)[:, None] + np.minimum(np.arange(FIRST), prefix[:, None] - 1)]
+                for p, k, c, (x,) in _pieces(_fragment(g, parts), own, g):
+                    for col, v in zip(rows, (p, keys[who[k] + i].tobytes(), size[k].astype(np.int32).tobytes(), c.astype(np.int32).tobytes(), first[k].tobytes(), _narrow(x, 5))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=names)
 
-    return run, "part int, k binary, size binary, grams binary"
+    return run, "part int, k binary, size binary, count binary, first binary, grams binary"
 
 
-def _pairs(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs(sizes: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) inside consecutive runs of the given sizes, some millions at a time."""
     start = np.cumsum(sizes) - sizes
     left = np.concatenate([np.zeros(0, np.int64), np.arange(sizes.sum())]) if len(sizes) else np.zeros(0, np.int64)
@@ -217,24 +274,32 @@ def _pairs(sizes: np.ndarray, limit: int = 2_000_000) -> Iterator[tuple[np.ndarr
 
 
 def _candidates(threshold: float):
-    """A fragment's prefix postings -> the pairs of documents that meet in one."""
+    """A fragment's prefix postings -> the pairs of documents that meet in one. A pair that has n-grams in common among the
+    first of both documents is reported where the first of these is, and nowhere else."""
 
     def run(t: pa.Table) -> pa.Table:
-        k, s, g = _join(t["k"], np.int64), _join(t["size"], np.int32).astype(np.int64), _join(t["grams"], np.uint64)
-        order = np.lexsort((s, g))
-        g, k, s = g[order], k[order], s[order]
-        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        size = np.diff(np.append(head, len(g)))
+        trim()
+        k, s, c = _join(t["k"], np.int64), _join(t["size"], np.int32).astype(np.int64), _join(t["count"], np.int32)
+        first, g = _join(t["first"], np.uint64).reshape(-1, FIRST), _wide(b"".join(t["grams"].to_pylist()), 5)
+        doc = np.repeat(np.arange(len(k)), c)
+        order = np.lexsort((s[doc], g))
+        g, doc = g[order], doc[order]
+        size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), len(g)))
         many = np.repeat(size > 1, size)
-        k, s, size = k[many], s[many], size[size > 1]
-        names, k = np.unique(k, return_inverse=True)
-        found = np.zeros(0, np.int64)
+        g, doc, size = g[many], doc[many], size[size > 1]
+        names, number = np.unique(k, return_inverse=True)
+        found = [np.zeros(0, np.int64)]
         for i, j in _pairs(size):
+            at, i, j = g[i], doc[i], doc[j]
             ok = (s[i] >= _least(s[j], threshold)) & (k[i] != k[j])
-            i, j = k[i[ok]], k[j[ok]]
-            found = np.union1d(found, np.minimum(i, j) * len(names) + np.maximum(i, j))
-        a, b = (names[found // max(len(names), 1)], names[found % max(len(names), 1)]) if len(found) else (found, found)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            at, i, j = at[ok], i[ok], j[ok]
+            common = (first[i][:, :, None] == first[j][:, None, :]).any(2)
+            ok = ~common.any(1) | (first[i, common.argmax(1)] & np.uint64((1 << 40) - 1) == at)
+            i, j = number[i[ok]], number[j[ok]]
+            found.append(np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j)))
+        pair = np.unique(np.concatenate(found))
+        n = max(len(names), 1)
+        return pa.table({"a": pa.array(names[pair // n] if len(pair) else pair, pa.int64()), "b": pa.array(names[pair % n] if len(pair) else pair, pa.int64())})
 
     return run, "a long, b long"
 
@@ -244,59 +309,85 @@ def _candidates(threshold: float):
 
 def _post_groups(n: int, parts: int):
     """Documents with the number of their group -> the n-grams of each document, by group number and fragment."""
-    names = ["grp", "part", "k", "count", "grams"]
+    names = ["grp", "part", "k", "id", "count", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            trim()
             rows: list[list] = [[] for _ in names]
-            keys, grp = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            for i, g, doc in sets(b.column(1), n):
-                for p, k, c, (x,) in _pieces(grp[doc + i] * parts + _fragment(g, parts), keys[doc + i], g):
-                    for col, v in zip(rows, (p // parts, p % parts, k.tobytes(), c.astype(np.int32).tobytes(), x.tobytes())):
+            keys, ids, grp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3))
+            for i, g, doc in sets(b.column(2), n):
+                for p, d, c, (x,) in _pieces(grp[doc + i] * parts + _fragment(g, parts), doc + i, g):
+                    for col, v in zip(rows, (p // parts, p % parts, keys[d].tobytes(), ids[d].tobytes(), c.astype(np.int32).tobytes(), x.tobytes())):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()) for r in rows[:2]] + [pa.array(r, pa.binary()) for r in rows[2:]], names=names)
 
-    return run, "grp int, part int, k binary, count binary, grams binary"
+    return run, "grp int, part int, k binary, id binary, count binary, grams binary"
 
 
-_LIMIT = 2_000_000  # rows looked up at a time
+_LIMIT = 500_000  # rows looked up at a time
+_PARTIAL = "a long, b long, overlap long, size_a long, size_b long, id_a long, id_b long"
 
 
 def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-    """The partial overlap of each candidate pair in one fragment."""
-    k, c, g = _join(docs["k"], np.int64), _join(docs["count"], np.int32), _join(docs["grams"], np.uint64)
+    """Of each candidate pair the partial overlap in one fragment, and the partial sizes of both sets."""
+    trim()
+    k, ident, c, g = _join(docs["k"], np.int64), _join(docs["id"], np.int64), _join(docs["count"], np.int32), _join(docs["grams"], np.uint64)
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    names = np.unique(k)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.ones(len(a), bool)  # a pair may have been found twice
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    a, b = a[new], b[new]
+    names, at = np.unique(np.concatenate([k, a, b]), return_index=True)
+    ids = np.concatenate([ident, np.full(2 * len(a), np.iinfo(np.int64).min)])[at]  # a document may have nothing in this fragment
     uniq, rank = np.unique(g, return_inverse=True)
-    code = np.unique(np.searchsorted(names, np.repeat(k, c)) * max(len(uniq), 1) + rank)  # by document, then n-gram
-    own, rank = code // max(len(uniq), 1), code % max(len(uniq), 1)
+    n = max(len(uniq), 1)
+    code = np.sort(np.searchsorted(names, np.repeat(k, c)) * n + rank)  # by document, then n-gram
+    own, rank = code // n, code % n
     start = np.searchsorted(own, np.arange(len(names) + 1))
-    there = np.isin(a, names) & np.isin(b, names)
-    a, b = a[there], b[there]
-    ia, ib = np.searchsorted(names, a), np.searchsorted(names, b)
     size = np.diff(start)
-    swap = size[ia] > size[ib]
-    ia, ib = np.where(swap, ib, ia), np.where(swap, ia, ib)
+    fa, fb = np.searchsorted(names, a), np.searchsorted(names, b)
+    swap = size[fa] > size[fb]
+    ia, ib = np.where(swap, fb, fa), np.where(swap, fa, fb)
     many = size[ia]
     upto = np.cumsum(many)
     out = np.zeros(len(a), np.int64)
     at = 0
-    while at < len(a):
+    while at < len(a) and len(code):
         stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _LIMIT, "right")))
         m = many[at:stop]
         row = np.repeat(np.arange(at, stop), m)
         src = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + start[ia[row]]
-        want = ib[row] * max(len(uniq), 1) + rank[src]
+        want = ib[row] * n + rank[src]
         hit = code[np.searchsorted(code, want).clip(max=len(code) - 1)] == want
         out[at:stop] = np.bincount(row[hit] - at, minlength=stop - at)
         at = stop
-    some = out > 0
-    return pa.table({"a": a[some], "b": b[some], "overlap": out[some]})
+    return pa.table({"a": a, "b": b, "overlap": out, "size_a": size[fa], "size_b": size[fb], "id_a": ids[fa], "id_b": ids[fb]})
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's edges as many as connect the same nodes."""
+    top: dict[int, int] = {}
+    for batch in batches:
+        u, v = [], []
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = top.setdefault(a, a), top.setdefault(b, b)
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            while top[y] != y:
+                top[y] = y = top[top[y]]
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                u.append(a)
+                v.append(b)
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(k, comp): each node of ``edges`` (a, b) with the smallest node it is connected to, by alternating large and small stars."""
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    few = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
+    e = cut(few.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     w = Window.partitionBy("u")
 
     def star(x: DataFrame, large: bool) -> DataFrame:
@@ -327,35 +418,35 @@ def _with(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 
 def _found(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (k, id, size, rep) and the pairs (a, b, overlap, size_a, size_b) of representatives."""
+    """The documents (k, id, size, rep) and the pairs (a, b, overlap, size_a, size_b, id_a, id_b) of representatives."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("0 < threshold <= 1 and n >= 1")
     spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
+    parts = shuffle_partitions(spark)
     keyed = _keyed(docs, id_col, text_col)
     f, schema = _post_all(n, parts)
-    f2, schema2 = _shared(n)
+    f2, schema2 = _shared(parts)
     one = cut(keyed.mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2))
-    each = one.where("k is not null").groupBy("k").agg(F.max("id").alias("id"), F.max("size").alias("size"), F.sum("shared").alias("shared"), F.max("s1").alias("s1"), F.max("s2").alias("s2"))
-    w = Window.partitionBy("s1", "s2", "size").orderBy("id", "k")
-    each = cut(each.withColumn("rep", F.first("k").over(w)).withColumn("rep_id", F.first("id").over(w)))
+    each = cut(one.where("home >= 0").groupBy("home").applyInArrow(_sum_shared, "k long, id long, size long, shared long, s1 long, s2 long"))
+    sig = ["s1", "s2", "size"]
+    least = each.groupBy(*sig).agg(F.min(F.struct("id", "k")).alias("m")).select(*sig, F.col("m.id").alias("rep_id"), F.col("m.k").alias("rep"))
+    each = cut(each.join(least, sig).select("k", "id", "size", "shared", "rep", "rep_id"))
     some = each.where((F.col("k") == F.col("rep")) & (F.col("shared") >= F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)))).select("k")
-    texts = cut(_with(keyed.select("k", TEXT), some, "k").dropDuplicates(["k"]))
-    hot = one.where("gram is not null").groupBy("gram").agg(F.max("df").alias("df")).orderBy(F.desc("df"), "gram").limit(FREQUENT).toArrow()
+    ids = F.coalesce(ID, F.lit(np.iinfo(np.int64).max)).alias("id")
+    texts = cut(_with(keyed.select("k", ids, TEXT), some, "k").dropDuplicates(["k"]))
+    hot = one.where("home = -1").select("grams", "count").mapInArrow(_unpack_frequent, "gram long, df long").orderBy(F.desc("df"), "gram").limit(FREQUENT).toArrow()
     gram, df = hot["gram"].to_numpy().astype(np.uint64), hot["df"].to_numpy()
     order = np.argsort(gram)
-    f, schema = _post_prefix(n, threshold, parts, gram[order], df[order])
+    f, schema = _post_prefix(n, threshold, max(1, parts // 2), gram[order], df[order], parts)
     f2, schema2 = _candidates(threshold)
-    cand = cut(texts.mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2).distinct())
+    cand = cut(texts.select("k", TEXT).mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2))
     comp = cut(components(cand).withColumn("grp", F.pmod(F.xxhash64("comp"), F.lit(parts)).cast("int")).select("k", "grp"))
     f, schema = _post_groups(n, PARTS)
-    left = _with(texts, comp, "k").select("k", TEXT, "grp").mapInArrow(f, schema)
-    right = cand.join(comp, cand["a"] == comp["k"]).select("a", "b", "grp", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    partial = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(_overlaps, "a long, b long, overlap long")
-    total = partial.groupBy("a", "b").agg(F.sum("overlap").alias("overlap"))
-    size = each.select("k", "size", "id")
-    total = total.join(size.select(F.col("k").alias("a"), F.col("size").alias("size_a"), F.col("id").alias("id_a")), "a")
-    total = total.join(size.select(F.col("k").alias("b"), F.col("size").alias("size_b"), F.col("id").alias("id_b")), "b")
+    # as many partitions as groups, whatever their bytes: pairs take more time than room
+    left = _with(texts, comp, "k").select("k", "id", TEXT, "grp").mapInArrow(f, schema).repartition(parts, "grp", "part")
+    right = _with(cand.withColumnRenamed("a", "k"), comp, "k").select(F.col("k").alias("a"), "b", "grp", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).repartition(parts, "grp", "part")
+    partial = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(_overlaps, _PARTIAL)
+    total = partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("overlap", "size_a", "size_b")], *[F.max(c).alias(c) for c in ("id_a", "id_b")])
     return each, total.where(F.col("overlap") >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * F.lit(threshold) - F.lit(1e-9))
 
 
