@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import ID, TEXT, chunks, cut, flat, mix, n_words, narrow, shuffle_partitions, tokens
@@ -228,9 +228,9 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
     last = np.iinfo(np.int64).max  # null identifiers come last
     d = narrow(docs, id_col, text_col).where(F.col(TEXT).isNotNull())
     d = d.select(F.xxhash64(TEXT).alias("k"), F.coalesce(ID, F.lit(last)).alias("id"), TEXT)
-    w = Window.partitionBy("k").orderBy("id")
     same = d.groupBy("k", "id").agg(F.count(F.lit(1)).alias("rows"), F.max(n_words(F.col(TEXT))).alias("n")).where(F.col("n") >= threshold)
-    same = cut(same.select("*", F.first("id").over(w).alias("rep"), (F.count(F.lit(1)).over(Window.partitionBy("k")) > 1).alias("several")))
+    tops = same.groupBy("k").agg(F.min("id").alias("rep"), (F.count(F.lit(1)) > 1).alias("several"))  # combined before the shuffle
+    same = cut(same.join(tops, "k"))
     f, schema = _find_anchors(threshold, parts)
     got = d.select("k", TEXT).mapInArrow(f, schema).groupBy("part").applyInArrow(_twice, "k long, pos array<int>")
     lists = got.groupBy("k").agg(F.flatten(F.collect_list("pos")).alias("pos"))
