@@ -38,6 +38,7 @@ THRESHOLD = 0.5
 FREQUENT = 1_000_000
 HEAVY = 64
 PARTS = 2
+PIECES = 8
 FIRST = 4
 BROADCAST_ROWS = 1_000_000
 
@@ -334,36 +335,44 @@ def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     trim()
     k, ident, c, g = _join(docs["k"], np.int64), _join(docs["id"], np.int64), _join(docs["count"], np.int32), _join(docs["grams"], np.uint64)
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    new = np.ones(len(a), bool)  # a pair may have been found twice
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    a, b = a[new], b[new]
     names, at = np.unique(np.concatenate([k, a, b]), return_index=True)
     ids = np.concatenate([ident, np.full(2 * len(a), np.iinfo(np.int64).min)])[at]  # a document may have nothing in this fragment
+    fa, fb = np.searchsorted(names, a).astype(np.int32), np.searchsorted(names, b).astype(np.int32)
+    owner = np.repeat(np.searchsorted(names, k).astype(np.int32), c)
+    size = np.bincount(owner, minlength=len(names))
+    out = np.zeros(len(a), np.int32)
+    piece = mix(g) % np.uint64(PIECES)
+    for p in range(PIECES):  # a piece of the fragment at a time, so that a large group takes little memory
+        mine = piece == p
+        _add_overlaps(out, owner[mine], g[mine], fa, fb, len(names))
+    return pa.table({"a": a, "b": b, "overlap": out.astype(np.int64), "size_a": size[fa], "size_b": size[fb], "id_a": ids[fa], "id_b": ids[fb]})
+
+
+def _add_overlaps(out: np.ndarray, owner: np.ndarray, g: np.ndarray, fa: np.ndarray, fb: np.ndarray, docs: int) -> None:
+    """Add to each pair (fa, fb) of documents how many of these n-grams both have."""
+    if not len(g):
+        return
     uniq, rank = np.unique(g, return_inverse=True)
-    n = max(len(uniq), 1)
-    code = np.sort(np.searchsorted(names, np.repeat(k, c)) * n + rank)  # by document, then n-gram
-    own, rank = code // n, code % n
-    start = np.searchsorted(own, np.arange(len(names) + 1))
+    n = len(uniq)
+    code = np.sort(owner * np.int64(n) + rank)  # by document, then n-gram
+    start = np.searchsorted(code, np.arange(docs + 1) * np.int64(n))
+    rank = (code % n).astype(np.int32)
     size = np.diff(start)
-    fa, fb = np.searchsorted(names, a), np.searchsorted(names, b)
-    swap = size[fa] > size[fb]
-    ia, ib = np.where(swap, fb, fa), np.where(swap, fa, fb)
-    many = size[ia]
-    upto = np.cumsum(many)
-    out = np.zeros(len(a), np.int64)
-    at = 0
-    while at < len(a) and len(code):
-        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _LIMIT, "right")))
-        m = many[at:stop]
-        row = np.repeat(np.arange(at, stop), m)
-        src = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m) + start[ia[row]]
-        want = ib[row] * n + rank[src]
+    at, step = 0, 50_000
+    while at < len(out):
+        x, y = fa[at : at + step], fb[at : at + step]
+        swap = size[x] > size[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        upto = np.cumsum(size[x])
+        m = max(1, int(np.searchsorted(upto, _LIMIT, "right")))
+        x, y = x[:m], y[:m]
+        many = size[x]
+        row = np.repeat(np.arange(len(x)), many)
+        src = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + start[x[row]]
+        want = y[row] * np.int64(n) + rank[src]
         hit = code[np.searchsorted(code, want).clip(max=len(code) - 1)] == want
-        out[at:stop] = np.bincount(row[hit] - at, minlength=stop - at)
-        at = stop
-    return pa.table({"a": a, "b": b, "overlap": out, "size_a": size[fa], "size_b": size[fb], "id_a": ids[fa], "id_b": ids[fb]})
+        out[at : at + len(x)] += np.bincount(row[hit], minlength=len(x)).astype(np.int32)
+        at += len(x)
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -439,7 +448,7 @@ def _found(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str
     order = np.argsort(gram)
     f, schema = _post_prefix(n, threshold, max(1, parts // 2), gram[order], df[order], parts)
     f2, schema2 = _candidates(threshold)
-    cand = cut(texts.select("k", TEXT).mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2))
+    cand = cut(texts.select("k", TEXT).mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2).distinct())
     comp = cut(components(cand).withColumn("grp", F.pmod(F.xxhash64("comp"), F.lit(parts)).cast("int")).select("k", "grp"))
     f, schema = _post_groups(n, PARTS)
     # as many partitions as groups, whatever their bytes: pairs take more time than room
