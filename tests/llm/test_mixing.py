@@ -73,3 +73,30 @@ def test_awkward(spark):
     assert mixing.sample(empty(spark)).count() == mixing.selection(empty(spark)).count() == 0
     only = d.where("source is null and text is not null or doc_id = 1").withColumn("source", F.lit(None).cast("string"))
     assert {r.doc_id for r in mixing.sample(only).collect()} == {1, 4}
+
+
+def _words(spark, sizes):
+    """Documents of 20 words; ``sizes`` gives how many each source has."""
+    rows = [(s, i) for s, n in sizes for i in range(n)]
+    return spark.createDataFrame([(k, f"{'w ' * 19}{k}", s) for k, (s, _) in enumerate(rows)], "doc_id long, text string, source string")
+
+
+def _inclusion(docs, weights=None):
+    return {r.source: (r.n, r.p) for r in mixing.selection(docs, weights).groupBy("source").agg(F.count("*").alias("n"), F.first("inclusion").alias("p")).collect()}
+
+
+def test_tiny_sources_do_not_bind_the_budget(spark):
+    big = [("a", 400), ("b", 400), ("c", 1600)]
+    got = _inclusion(_words(spark, [*big, ("rare", 1), (None, 1)]))
+    assert got["rare"] == got[None] == (1, 1.0)
+    assert got["a"] == got["b"] == (400, 1.0) and got["c"][1] == 0.5 and abs(got["c"][0] - 800) < 2
+    assert {s: got[s][1] for s in "abc"} == {s: p for s, (_, p) in _inclusion(_words(spark, big)).items()}  # as without the tiny ones
+    got = _inclusion(_words(spark, [*big, ("rare", 1)]), {"a": 0.4, "b": 0.396, "rare": 0.004, "c": 0.2})
+    assert got["rare"] == (1, 1.0) and got["a"] == (400, 1.0) and abs(got["b"][0] - 396) < 2 and abs(got["c"][0] - 200) < 2
+
+
+def test_many_small_sources_leave_half_of_the_words(spark):
+    got = _inclusion(_words(spark, [("big", 900), ("second", 100), *[(f"s{i}", 1) for i in range(50)]]))
+    assert all(got[f"s{i}"] == (1, 1.0) for i in range(50))
+    assert got["second"][0] + got["big"][0] == pytest.approx(525 - 50, abs=2)
+    assert got["second"] == (100, 1.0) and got["big"][1] == pytest.approx(375 / 900, abs=1e-6)

@@ -6,8 +6,13 @@ moves the probabilities of three documents at a time along the null space of the
 were. It runs in independent buckets of a source; the at most two open documents of each bucket fly again
 within the source, and the at most two left per source land by giving up the word constraint and then the count.
 
-Defined results: the sample is as large as the weights allow without repeating a document; null sources are a
-source of their own; null, empty and blank texts have 0 words and take part in the document count; rows that
+The sample is as large as the weights allow without repeating a document: its budget is the largest at which the
+sources that cannot reach their share hold at most ``SHORT`` of all words (of the weight, where weights are given).
+These are taken whole and fall short of their share; the others share out the rest by weight. Without given
+weights the budget is at least ``KEEP`` of all words, whatever the number of small sources; still more of
+these may then fall short.
+
+Defined results: null sources are a source of their own; null, empty and blank texts have 0 words and take part in the document count; rows that
 repeat identifier, source and text are one unit; sources without words, or without a weight, give nothing;
 an empty table gives none. The draw depends on ``seed`` and the documents alone, not on their partitions.
 """
@@ -18,13 +23,15 @@ import random
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.llm.common import ID, TEXT, cut, fresh, n_words, narrow, shuffle_partitions
 
 BUCKETS = 256
 ALPHA = 0.5
+SHORT = 0.01
+KEEP = 0.5
 _EPS = 1e-9
 
 
@@ -118,15 +125,26 @@ def _batch(units_: list[list], schema: pa.Schema, p: int) -> pa.RecordBatch:
 
 
 def probabilities(u: DataFrame, weights: dict[str, float] | None, alpha: float) -> DataFrame:
-    """(src, pi) of each source: the largest sample whose words are shared out by the weights."""
+    """(src, pi) of each source: 1 where it falls short of its share, words shared out by the weights among the others."""
     t = u.groupBy("src").agg(F.sum("words").alias("total")).where("total > 0")
     if weights is None:
         t = t.withColumn("weight", F.pow("total", F.lit(alpha)))
     else:
         rows = [("" if k is None else f"={k}", float(v)) for k, v in weights.items() if v > 0]
         t = t.join(u.sparkSession.createDataFrame(rows, "src string, weight double"), "src")
-    least = t.agg(F.min(F.col("total") / F.col("weight")).alias("budget"))
-    return t.crossJoin(F.broadcast(least)).select("src", F.least(F.lit(1.0), F.col("weight") * F.col("budget") / F.col("total")).alias("pi"))
+    # a source is whole at the level (words per weight) full; the sums run over the sources in this order
+    t = t.withColumn("full", F.col("total") / F.col("weight"))
+    by = Window.orderBy("full", "src")
+    here, ever = by.rowsBetween(Window.unboundedPreceding, 0), by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    t = t.select("*", *[F.sum(c).over(w).alias(f"{c}_{n}") for c in ("total", "weight") for n, w in (("here", here), ("ever", ever))])
+    of = "total" if weights is None else "weight"
+    level = F.min(F.when(F.col(f"{of}_here") > F.lit(SHORT) * F.col(f"{of}_ever"), F.col("full")))
+    if weights is None:
+        words = F.lit(KEEP) * F.col("total_ever")
+        rest = F.col("weight_ever") - F.col("weight_here")
+        enough = F.col("total_here") + F.col("full") * rest >= words
+        level = F.greatest(level, F.min_by((words - F.col("total_here") + F.col("total")) / (rest + F.col("weight")), F.when(enough, F.struct("full", "src"))))
+    return t.crossJoin(F.broadcast(t.agg(level.alias("level")))).select("src", F.least(F.lit(1.0), F.col("weight") * F.col("level") / F.col("total")).alias("pi"))
 
 
 def draw(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
