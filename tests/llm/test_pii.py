@@ -71,3 +71,27 @@ def test_awkward(spark):
     d = spark.createDataFrame([(1, long), (1, long), (None, "é a@b.example.org")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.span_start) for r in pii.detect(d).collect()) == [(0, 2), (1, 400_000), (1, 400_000)]
     assert pii._batch(pa.array([None, ""], pa.string()), 0.5) == [[], []]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("4111 1111 1111 1111 12/25", ["4111 1111 1111 1111"]),
+        ("4111111111111111 737", ["4111111111111111"]),
+        ("order 12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("2024-05-12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("12-4111-1111-1111-1111-737", ["4111-1111-1111-1111"]),
+        ("4111 1111 1111 1111 5555 5555 5555 4444 3782 822463 10005", ["4111 1111 1111 1111", "5555 5555 5555 4444", "3782 822463 10005"]),
+        ("4111 1111 1111 1112 12/25", []),
+        ("411111111111111173737", []),
+    ],
+)
+def test_cards_beside_numbers(text, want):
+    assert [t for k, t in [(k, text[s:e]) for k, s, e, _ in pii.find(text, threshold=0.4)] if k == "card"] == want
+    # "order" speaks against a card and takes the score below the default threshold
+    assert [t for k, t in kinds(text) if k == "card"] == ([] if "order" in text else want)
+
+
+def test_long_runs_of_digits_take_linear_time():
+    assert len(pii.find("4111 1111 1111 1111 0 " * 5_000)) == 5_000
+    assert pii.find("7 " * 100_000) == []

@@ -1,6 +1,6 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
-Kinds: ``email``, ``card`` (Luhn), ``iban`` (mod-97), ``phone``, ``ssn``, ``ip`` (octets), ``secret`` (keys and
+Kinds: ``email``, ``card`` (Luhn; also between other numbers), ``iban`` (mod-97), ``phone``, ``ssn``, ``ip`` (octets), ``secret`` (keys and
 tokens named as such). A proposal that fails its validator is dropped; one that overlaps a stronger span gives
 way. A span's score is its kind's base, raised by words nearby that go with the kind and lowered by words that
 speak against it; spans from ``threshold`` on are reported, with code point offsets into the whole text.
@@ -22,6 +22,7 @@ from textloom.llm.common import ID, TEXT, narrow
 
 THRESHOLD = 0.5
 WINDOW = 48
+_PRINTED = re.compile(r"\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ \-])\d{6}\2\d{4,5}|\d{4}([ \-])\d{3}\3\d{3}\3\d{3}")
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -41,6 +42,28 @@ def _card(s: str) -> bool:
     return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d)
 
 
+def _cards(run: str) -> list[tuple[int, int]]:
+    """Where cards stand in a run of digit groups: the whole run, or windows of whole groups, those printed as cards are before others."""
+    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    got = []
+    for i, (a, _) in enumerate(groups):
+        n = 0
+        for j in range(i, len(groups)):
+            z = groups[j][1]
+            n += z - groups[j][0]
+            if n > 19:
+                break
+            if n >= 13 and _card(run[a:z]):
+                got.append((z - a < len(run), not _PRINTED.fullmatch(run[a:z]), -n, a, z))
+    kept: list[tuple[int, int]] = []
+    taken = bytearray(len(run))
+    for *_, a, z in sorted(got):
+        if not any(taken[a:z]):
+            taken[a:z] = b"\1" * (z - a)
+            kept.append((a, z))
+    return kept
+
+
 def _iban(s: str) -> bool:
     c = s.replace(" ", "").upper()
     return 15 <= len(c) <= 34 and mod97(c)
@@ -81,7 +104,7 @@ KINDS = [
     Kind("email", "@", re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), None, 0.9, _W("e-?mails?", "mail", "contact", "write", "kontakt", "correo")),
     Kind("secret", r"(?i)(?:token|key|secret|passw|credential|bearer)", re.compile(r"""(?i)(?:token|key|secret|passw(?:or)?d|credentials?|bearer)["']?\s*(?:[:=]\s*|\s)["']?([A-Za-z0-9_\-+/=.]{16,512})"""), _secret, 0.8, _W("token", "api", "secret", "password", "auth", "private")),
     Kind("iban", r"[A-Za-z]{2}\d{2}[ 0-9A-Za-z]", re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"), _iban, 0.85, _W("iban", "bank", "account", "konto", "cuenta", "compte")),
-    Kind("card", r"\d[ \-]?\d", re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-]|\.\d)"), _card, 0.75, _W("card", "credit", "visa", "mastercard", "amex", "debit", "payment", "karte", "carte", "tarjeta"), _W("isbn", "serial", "order", "invoice")),
+    Kind("card", r"\d[ \-]?\d", re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,}(?![\w\-]|\.\d)"), _card, 0.75, _W("card", "credit", "visa", "mastercard", "amex", "debit", "payment", "karte", "carte", "tarjeta"), _W("isbn", "serial", "order", "invoice")),
     Kind("ip", r"\d\.\d", re.compile(r"(?<![\w.\-])\d{1,3}(?:\.\d{1,3}){3}(?![\w\-]|\.\d)"), _ip, 0.65, _W("ip", "address", "host", "server", "client", "login"), _W("version", "release", "section", "chapter")),
     Kind("ssn", r"\d{3}[- ]\d{2}[- ]\d{4}", re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])|(?<![\w\-])\d{3} \d{2} \d{4}(?![\w\-])"), _ssn, 0.6, _W("ssn", "social", "security", "tax", "tin"), _W("part", "order", "serial", "isbn")),
     Kind("phone", r"\d", re.compile(r"(?<![\w.\-+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?![\w\-]|\.\d)"), _phone, 0.65, _W("phones?", "telephone", "tel", "mobile", "cell", "call", "fax", "telefon", "whatsapp", "sms"), _W("isbn", "order", "serial", "version")),
@@ -103,12 +126,13 @@ def find(text: str, kinds: list[Kind] = KINDS, threshold: float = THRESHOLD) ->
                 while " " in text[s:e] and not _iban(text[s:e]):
                     e = s + text[s:e].rindex(" ")
                 at = max(e, m.start() + 4) if _iban(text[s:e]) else m.start() + 4
-            if k.check is not None and not k.check(text[s:e]):
-                continue
-            near = text[max(0, s - WINDOW) : s] + " \0 " + text[e : e + WINDOW]
-            score = k.base + 0.15 * bool(k.near.search(near)) - 0.35 * bool(k.against.search(near))
-            if score >= threshold:
-                got.append((round(min(score, 1.0), 2), order, s, e, k.name))
+            for s, e in [(m.start() + a, m.start() + z) for a, z in _cards(m.group())] if k.name == "card" else [(s, e)]:
+                if k.check is not None and not k.check(text[s:e]):
+                    continue
+                near = text[max(0, s - WINDOW) : s] + " \0 " + text[e : e + WINDOW]
+                score = k.base + 0.15 * bool(k.near.search(near)) - 0.35 * bool(k.against.search(near))
+                if score >= threshold:
+                    got.append((round(min(score, 1.0), 2), order, s, e, k.name))
     got.sort(key=lambda x: (-x[0], x[1], x[2]))
     kept: list[tuple[str, int, int, float]] = []
     if len(got) > 1:
