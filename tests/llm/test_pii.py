@@ -95,3 +95,10 @@ def test_cards_beside_numbers(text, want):
 def test_long_runs_of_digits_take_linear_time():
     assert len(pii.find("4111 1111 1111 1111 0 " * 5_000)) == 5_000
     assert pii.find("7 " * 100_000) == []
+
+
+def test_long_secrets_are_found_whole():
+    token = "eyJ0eXAi0." * 500 + "x9"
+    text = f"Authorization: Bearer {token} end"
+    assert kinds(text) == [("secret", token)]
+    assert pii.redact(text, pii.find(text)) == "Authorization: Bearer <SECRET> end"

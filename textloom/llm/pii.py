@@ -102,7 +102,7 @@ class Kind:
 _W = lambda *words: re.compile(r"(?i)(?<![a-z])(?:" + "|".join(words) + r")(?![a-z])")
 KINDS = [
     Kind("email", "@", re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), None, 0.9, _W("e-?mails?", "mail", "contact", "write", "kontakt", "correo")),
-    Kind("secret", r"(?i)(?:token|key|secret|passw|credential|bearer)", re.compile(r"""(?i)(?:token|key|secret|passw(?:or)?d|credentials?|bearer)["']?\s*(?:[:=]\s*|\s)["']?([A-Za-z0-9_\-+/=.]{16,512})"""), _secret, 0.8, _W("token", "api", "secret", "password", "auth", "private")),
+    Kind("secret", r"(?i)(?:token|key|secret|passw|credential|bearer)", re.compile(r"""(?i)(?:token|key|secret|passw(?:or)?d|credentials?|bearer)["']?\s*(?:[:=]\s*|\s)["']?([A-Za-z0-9_\-+/=.]{16,})"""), _secret, 0.8, _W("token", "api", "secret", "password", "auth", "private")),
     Kind("iban", r"[A-Za-z]{2}\d{2}[ 0-9A-Za-z]", re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"), _iban, 0.85, _W("iban", "bank", "account", "konto", "cuenta", "compte")),
     Kind("card", r"\d[ \-]?\d", re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,}(?![\w\-]|\.\d)"), _card, 0.75, _W("card", "credit", "visa", "mastercard", "amex", "debit", "payment", "karte", "carte", "tarjeta"), _W("isbn", "serial", "order", "invoice")),
     Kind("ip", r"\d\.\d", re.compile(r"(?<![\w.\-])\d{1,3}(?:\.\d{1,3}){3}(?![\w\-]|\.\d)"), _ip, 0.65, _W("ip", "address", "host", "server", "client", "login"), _W("version", "release", "section", "chapter")),
