@@ -71,3 +71,22 @@ def test_awkward(spark):
     d = spark.createDataFrame([(1, None, "t"), (2, "", "t"), (None, deep, "t"), (2, "", "t")], "page_id long, html string, text string")
     assert sorted(((r.page_id or 0), r.text or "") for r in extract(d).collect()) == [(0, "x"), (1, ""), (2, ""), (2, "")]
     assert extract(d.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<table><tr><th>A<th>B<th>C<tr><td rowspan=2>x<td>1<td>2<tr><td>3<td>4</table>", "A  B  C\nx  1  2\n   3  4"),
+        ("<table><tr><td rowspan=3 colspan=2>wide<td>a<tr><td>b<tr></tr><tr><td>c<td>d<td>e</table>", "wide  a\n      b\nc  d  e"),
+        ("<table><tr><td>a<td rowspan=2>b<td>c<tr><td>d<td rowspan=0>e<tr><td>f<td>g</table>", "a  b  c\nd     e\nf  g"),
+        ("<table><thead><tr><th rowspan=9>H<th>I<tbody><tr><td>1<td>2<tfoot><tr><td>3<td>4</table>", "H  I\n1  2\n3  4"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> holds", "so x= 1 2 holds"),
+        ("<math><semantics><msup><mi>y</mi><mn>2</mn></msup><annotation encoding=tex>y^2</annotation></semantics></math>z", "y 2z"),
+        ("a <svg><title>no</title><desc>no</desc><defs><text>no</text></defs><g><text x=1>One</text><text>Two <tspan>three</tspan></text></g></svg>b", "a\nOne\nTwo three\nb"),
+        ("see <svg><path d='M0'/><title/></svg>icon", "see icon"),
+        ("<svg><text display=none>no</text><foreignObject><p>yes<desc>too</desc></foreignObject></svg>", "yestoo"),
+        ("<svg><g><text>in<p>out</p><metadata>shown</metadata>", "in\n\nout\n\nshown"),
+    ],
+)
+def test_spanned_rows_formulas_and_drawings(html, want):
+    assert text_of(html) == want

@@ -4,7 +4,9 @@ A tree builder reads the markup with the implied tags of HTML (``p``, ``li``, ``
 options close where the next begins, void elements have no content, scripts and styles are raw text). The
 renderer then walks the tree and emits all visible text: hidden elements are left out, blocks stand on lines
 of their own with a blank line around paragraphs, headings, lists and tables, list items carry their bullet or
-number and are indented by depth, preformatted text keeps its blanks, and table cells are aligned in columns.
+number and are indented by depth, preformatted text keeps its blanks, and table cells are aligned in columns, of
+which a cell may span several and keep them in the rows below. Formulas give the text of their parts, fractions
+and scripts with a blank between, and drawings the lines of their labels; what they only define or annotate is hidden.
 
 Defined results: null html gives null, empty html an empty text; unclosed or stray tags never fail; a comment or
 script without an end runs to the end of the page; repeated rows are rendered again; other columns are ignored.
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +24,12 @@ from pyspark.sql import functions as F
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object svg math canvas audio video datalist meta link base".split())
+HIDDEN = frozenset("head script style title template noscript iframe noembed noframes object canvas audio video datalist meta link base".split())
+FOREIGN = {"svg": frozenset("desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split()), "math": frozenset("annotation annotation-xml mphantom".split())}
+# within these, elements are those of HTML again; the others are closed by the start of such an element
+HTML_WITHIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+SCRIPTS = frozenset("mfrac mroot msub msup msubsup munder mover munderover mmultiscripts".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure menu hr".split())
 BLOCK = PARAGRAPH | frozenset("html body address article aside center details dialog dd div dt fieldset figcaption footer form header hgroup legend li main nav option optgroup search section summary tr caption thead tbody tfoot".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
@@ -41,10 +49,10 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids")
+    __slots__ = ("tag", "attrs", "kids", "foreign")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.kids = tag, attrs, []
+    def __init__(self, tag: str, attrs: str = "", foreign: str = ""):
+        self.tag, self.attrs, self.kids, self.foreign = tag, attrs, [], foreign
 
     def attr(self, name: str) -> str | None:
         if name not in self.attrs.lower():
@@ -104,6 +112,9 @@ def parse(html: str) -> Node:
                 stack.pop()
             if any(x.tag == "body" for x in stack):
                 continue
+        if tag in BREAKOUT:
+            while stack[-1].foreign and stack[-1].tag not in HTML_WITHIN:
+                stack.pop()
         if tag in CLOSES_P:
             close_p()
         if tag in IMPLIED:
@@ -118,9 +129,9 @@ def parse(html: str) -> Node:
                 del stack[cut:]
         if tag not in ("head",) and stack[-1].tag == "head" and tag not in HIDDEN and tag not in VOID:
             stack.pop()  # content ends the head
-        node = Node(tag, attrs)
+        node = Node(tag, attrs, tag if tag in FOREIGN else "" if stack[-1].tag in HTML_WITHIN else stack[-1].foreign)
         stack[-1].kids.append(node)
-        if tag in VOID or attrs.endswith("/") and tag in ("path", "circle", "rect", "use", "g"):
+        if tag in VOID or attrs.endswith("/") and (node.foreign or tag in ("path", "circle", "rect", "use", "g")):
             continue
         if tag in RAW:
             e = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
@@ -138,7 +149,7 @@ def parse(html: str) -> Node:
 
 def hidden(node: Node) -> bool:
     """Whether an element and all in it is invisible."""
-    if node.tag in HIDDEN:
+    if node.tag in HIDDEN or node.foreign and node.tag in FOREIGN[node.foreign]:
         return True
     a = node.attrs
     if not a:
@@ -148,6 +159,8 @@ def hidden(node: Node) -> bool:
         return True
     if node.tag == "input" or node.tag == "dialog":
         return node.tag == "dialog" and node.attr("open") is None
+    if node.foreign == "svg" and (node.attr("display") == "none" or node.attr("visibility") in ("hidden", "collapse")):
+        return True
     return "style" in low and bool(_HIDE.search(node.attr("style") or ""))
 
 
@@ -205,14 +218,23 @@ class _Out:
                 self.line.append(part)
 
 
+def _number(node: Node, name: str, default: int, most: int) -> int:
+    x = (node.attr(name) or "").strip()
+    return min(int(x[:9]), most) if x.isdecimal() else default
+
+
 def _table(node: Node, depth: int) -> list[str]:
     """The lines of a table: its caption, then rows with cells padded to their column's width."""
-    rows: list[list[tuple[str, int]]] = []
+    rows: list[list[tuple[int, str, int]]] = []  # (column, text, columns)
+    held: dict[int, float] = {}  # the row up to which a cell from above holds a column
     caption: list[str] = []
     todo = list(reversed(node.kids))
     foot: list[Node] = []
     while todo:
         k = todo.pop()
+        if k is None:  # cells end with their group of rows
+            held = {}
+            continue
         if isinstance(k, str):
             if k.strip():  # misplaced text stands before the table
                 caption.append(_SPACE.sub(" ", k).strip())
@@ -220,22 +242,36 @@ def _table(node: Node, depth: int) -> list[str]:
         if hidden(k):
             continue
         if k.tag == "tr":
-            row = []
+            row, at = [], 0
             for c in k.kids:
+                span, down = 1, 1.0
                 if isinstance(c, str):
-                    if c.strip():
-                        row.append((_SPACE.sub(" ", c).strip(), 1))
-                elif not hidden(c):
-                    span = c.attr("colspan") if c.tag in ("td", "th") else None
-                    row.append((" ".join(render(c, depth + 1).split()), min(max(int(span), 1), 1000) if span and span.strip().isdecimal() else 1))
-            if row:
-                rows.append(row)
+                    if not c.strip():
+                        continue
+                    cell = _SPACE.sub(" ", c).strip()
+                elif hidden(c):
+                    continue
+                else:
+                    cell = " ".join(render(c, depth + 1).split())
+                    if c.tag in ("td", "th"):
+                        span = max(_number(c, "colspan", 1, 1000), 1)
+                        down = _number(c, "rowspan", 1, 65534) or float("inf")
+                while held.get(at, 0) > len(rows):
+                    at += 1
+                row.append((at, cell, span))
+                if down > 1:
+                    for i in range(at, at + span):
+                        held[i] = max(held.get(i, 0), len(rows) + down)
+                at += span
+            rows.append(row)
         elif k.tag == "tfoot" and k not in foot:
             foot.append(k)
             todo[0:0] = [k]
             if len(todo) == 1:
-                todo = list(reversed(k.kids))
+                held, todo = {}, list(reversed(k.kids))
         elif k.tag in ("thead", "tbody", "tfoot"):
+            held = {}
+            todo.append(None)
             todo.extend(reversed(k.kids))
         elif k.tag in ("col", "colgroup"):
             continue
@@ -243,26 +279,23 @@ def _table(node: Node, depth: int) -> list[str]:
             caption += [x for x in render(k, depth + 1).split("\n") if x]
     width: list[int] = []
     for row in rows:
-        at = 0
-        for cell, span in row:
+        for at, cell, span in row:
             width += [0] * (at + span - len(width))
             if span == 1:
                 width[at] = max(width[at], len(cell))
-            at += span
     for row in rows:  # a spanning cell that needs more widens its last column
-        at = 0
-        for cell, span in row:
+        for at, cell, span in row:
             have = sum(width[at : at + span]) + 2 * (span - 1)
             if len(cell) > have:
                 width[at + span - 1] += len(cell) - have
-            at += span
+    left = list(accumulate((w + 2 for w in width), initial=0))
     lines = caption
     for row in rows:
-        at, parts = 0, []
-        for cell, span in row:
-            parts.append(cell.ljust(sum(width[at : at + span]) + 2 * (span - 1)))
-            at += span
-        lines.append("  ".join(parts).rstrip())
+        line, end = [], 0
+        for at, cell, _ in row:
+            line += [" " * (left[at] - end), cell]
+            end = left[at] + len(cell)
+        lines.append("".join(line).rstrip())
     return [x for x in lines if x]
 
 
@@ -333,7 +366,12 @@ def render(node: Node, depth: int = 0) -> str:
             out.lead = out.indent + mark
             out.indent += " " * len(mark)
             todo.append((_Mark(x, len(mark)), False))
-        elif tag in ("td", "th"):  # outside a row
+        elif tag in ("td", "th", "mtr", "mtd"):  # outside a row
+            out.text(" ")
+        elif tag == "text" and x.foreign == "svg":
+            out.end(1)
+            todo.append((x, False))
+        elif tag == "tspan" and (x.attr("x") or x.attr("y") or x.attr("dy")):
             out.text(" ")
         elif tag in BLOCK:
             out.end(2 if tag in PARAGRAPH else 1)
@@ -346,7 +384,12 @@ def render(node: Node, depth: int = 0) -> str:
             pre += 1
             if x.kids and isinstance(x.kids[0], str) and x.kids[0].startswith("\n"):
                 x.kids[0] = x.kids[0][1:]
-        todo.extend((k, True) for k in reversed(x.kids))
+        kids = x.kids
+        if x.foreign == "math" and tag in ("semantics", "maction"):  # only the first is shown
+            kids = [k for k in kids if not isinstance(k, str)][:1]
+        elif x.foreign == "math" and tag in SCRIPTS:
+            kids = [y for k in kids for y in (" ", k)]
+        todo.extend((k, True) for k in reversed(kids))
     out.end(0)
     return "\n".join(out.lines).strip("\n")
 
