@@ -30,17 +30,7 @@ def test_stages(spark, sf, tmp_path):
     for k in sorted(kept[0]):
         least.setdefault(kept[0][k].text, k)
     assert set(kept[1]) == set(least.values())
-    top = {k: k for k in kept[1]}
-
-    def find(x):
-        while top[x] != x:
-            x = top[x]
-        return x
-
-    for a, b, _ in brute([(k, r.text) for k, r in kept[1].items()], near_dedup.N, near_dedup.THRESHOLD):
-        a, b = find(a), find(b)
-        top[max(a, b)] = min(a, b)
-    assert set(kept[2]) == {find(k) for k in top}
+    assert set(kept[2]) == {c for _, c, _ in brute(sorted((k, r.text) for k, r in kept[1].items()), near_dedup.N, near_dedup.THRESHOLD)[1]}
     assert set(kept[3]) <= set(kept[2]) and {r.source for r in kept[3].values()} == {r.source for r in kept[2].values()}
     placed(docs.collect(), {k: len(r.text.split()) for k, r in kept[3].items()}, CAPACITY)
 

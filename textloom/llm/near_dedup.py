@@ -1,24 +1,33 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document's set is that of its word n-grams (words are runs of letters and digits, case ignored). The join finds all
-pairs of documents whose sets have a Jaccard similarity of at least ``threshold``, exactly:
+A document's set is that of its word n-grams (words are runs of letters and digits, case ignored). Two documents are
+linked if their sets have a Jaccard similarity of at least ``threshold``. All links are found, exactly:
 
 1. The n-gram space is cut into fragments (ranges of the n-gram hash). Each fragment knows how many documents
    have each of its n-grams and reports, per document, how many it shares with any other. Only documents that share
-   enough n-grams in all (``threshold`` of their set) can be in a pair; documents with equal sets are
+   enough n-grams in all (``threshold`` of their set) can have a link; documents with equal sets are
    represented by the smallest identifier.
-2. Of these, each posts its prefix under a global n-gram order that puts the most frequent last: the first
-   size - ceil(threshold * size) + 1 n-grams. Two sets in a pair share an n-gram of their prefixes (and differ
-   in size by the threshold at most), so postings that meet in a fragment give all candidates.
-3. Fragments count the partial overlaps of the candidates separately, side by side for groups of connected
-   candidates, and the sum per pair decides.
+2. Crowds of near copies are taken together without looking at their pairs. Minima of the set's hashes gather a crowd, and
+   the n-grams that most of (a sample of) it has are its centre. If A lacks m(A) of the P n-grams of the centre and
+   has x(A) others, A and B share at least P - m(A) - m(B), so they are linked for certain if
+   (m(A) + threshold x(A)) + (m(B) + threshold x(B)) <= (1 - threshold) P. These sums are additive: the links of a
+   document by this rule are counted by its rank, from a histogram of the crowd. Any centre gives right counts.
+3. Of the rest, each posts its prefix under a global n-gram order that puts the most frequent last: the first
+   size - ceil(threshold * size) + 1 n-grams. Two linked sets share an n-gram of their prefixes (and differ
+   in size by the threshold at most), so postings that meet in a fragment give all candidates. Pairs that are certain
+   by 2 are passed over, not made.
+4. Fragments count the partial overlaps of the candidates separately, for blocks of pairs whose number follows from
+   the count of candidates, and the sum per pair decides.
 
 The order only needs to be the same everywhere; the list of most frequent n-grams that it moves to the end may thus be
 bounded (``FREQUENT``) without any pair being lost.
 
-Defined results: null, empty and wordless texts have no set and are in no pair; texts of fewer than ``n``
-words have one n-gram, the whole; equal sets pair with their representative only, at 1.0; rows that repeat
-identifier and text are one document; an empty table gives none; other columns pass through untouched.
+Defined results: null, empty and wordless texts have no set, no link and a class of their own; texts of fewer than ``n``
+words have one n-gram, the whole; rows that repeat identifier and text are one document, rows that repeat the identifier
+with another text are another; null identifiers come after all others; very long texts are taken whole; an empty table gives
+none; other columns pass through ``dedup`` untouched and are ignored elsewhere. Identifiers are integers (others
+are cast to long, which fails under ANSI rules if they aren't numbers). A document is known by its identifier and a
+64-bit hash of both; of two documents whose hashes agree by chance one is left alone, as if it had no links.
 """
 
 from __future__ import annotations
@@ -41,6 +50,16 @@ PARTS = 2
 PIECES = 8
 FIRST = 4
 BROADCAST_ROWS = 1_000_000
+#: Hash minima by which crowds are gathered; fewest documents of a crowd; documents that its centre is made of; documents scored together.
+MINIMA = 4
+CROWD = 8
+SAMPLE = 64
+SALT = 1024
+#: Candidate pairs of a block.
+BLOCK = 40_000
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+_LAST = np.iinfo(np.int64).max
+_ALONE = 1 << 40  # the score of a document outside of crowds
 
 
 def _least(size: np.ndarray | int, threshold: float):
@@ -67,8 +86,7 @@ def sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(k, __id, __text): k stands for a document, that is an identifier and its text."""
-    d = narrow(docs, id_col, text_col).where(F.col(TEXT).isNotNull())
-    return d.select(F.xxhash64(ID, TEXT).alias("k"), ID, TEXT)
+    return narrow(docs, id_col, text_col).select(F.xxhash64(ID, TEXT).alias("k"), ID, TEXT)
 
 
 def _pieces(part: np.ndarray, key: np.ndarray, *cols: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -109,27 +127,36 @@ def _fragment(g: np.ndarray, parts: int) -> np.ndarray:
 
 def _post_all(n: int, parts: int):
     """Documents -> for each fragment, its documents (40 bits of their key) with their n-grams (32 bits); under fragments
-    -1, -2 .. the documents with size and two signatures of the set. What is cut short can only let a document through."""
+    -1, -2 .. the documents with size, two signatures of the set and ``MINIMA`` minima of its hashes. What is cut short can
+    only let a document through."""
     names = ["part", "k", "ids", "count", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trim()
             rows: list[list] = [[] for _ in names]
-            keys, ids = b.column(0).to_numpy(zero_copy_only=False), pc.fill_null(b.column(1), np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+            keys, ids = b.column(0).to_numpy(zero_copy_only=False), pc.fill_null(b.column(1), _LAST).to_numpy(zero_copy_only=False)
+            bare = np.ones(len(keys), bool)
+
+            def whole(own: np.ndarray, size: np.ndarray, sig: np.ndarray) -> None:
+                for p, _, _, (o,) in _pieces(_home(keys[own], parts), np.arange(len(own)), np.arange(len(own))):
+                    for c, v in zip(rows, (-1 - p, keys[own[o]].tobytes(), ids[own[o]].tobytes(), size[o].tobytes(), np.ascontiguousarray(sig[o]).tobytes())):  # noqa: B023
+                        c.append(v)
+
             for i, g, doc in sets(b.column(2), n):
                 if not len(g):
                     continue
                 head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 own = doc[head] + i
                 size = np.diff(np.append(head, len(g))).astype(np.int32)
-                sig = np.stack([np.add.reduceat(mix(g ^ np.uint64(0x5851F42D4C957F2D)), head), np.add.reduceat(mix(g + np.uint64(0x14057B7EF767814F)), head)], 1)
-                for p, k, _, (o,) in _pieces(_home(keys[own], parts), np.arange(len(own)), np.arange(len(own))):
-                    for c, v in zip(rows, (-1 - p, keys[own[o]].tobytes(), ids[own[o]].tobytes(), size[o].tobytes(), np.ascontiguousarray(sig[o]).tobytes())):
-                        c.append(v)
+                sums = [np.add.reduceat(mix(g ^ np.uint64(0x5851F42D4C957F2D)), head), np.add.reduceat(mix(g + np.uint64(0x14057B7EF767814F)), head)]
+                whole(own, size, np.stack([*sums, *[np.minimum.reduceat(g * x, head) for x in _SEEDS]], 1))
+                bare[own] = False
                 for p, k, c, (x,) in _pieces(_fragment(g, parts), keys[doc + i], g):
                     for col, v in zip(rows, (p, _narrow(k, 5), b"", _counts(c), _narrow(x, 4))):
                         col.append(v)
+            rest = np.flatnonzero(bare)
+            whole(rest, np.zeros(len(rest), np.int32), np.repeat(keys[rest].astype(np.uint64)[:, None], 2 + MINIMA, 1))
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=names)
 
     return run, "part int, k binary, ids binary, count binary, grams binary"
@@ -196,18 +223,18 @@ def _shared(parts: int):
 
 
 def _sum_shared(t: pa.Table) -> pa.Table:
-    """One part of the documents: with each its size, its signatures and how many of its n-grams others have too."""
+    """One part of the documents: with each its size, its signatures and minima, and how many of its n-grams others have too."""
     rows = t.to_pylist()
     whole = [r for r in rows if r["ids"]]
     part = [r for r in rows if not r["ids"]]
     cat = lambda f, d, rs: np.frombuffer(b"".join(r[f] for r in rs), d)
     k, at = np.unique(cat("k", np.int64, whole), return_index=True)
-    ids, size, sig = cat("ids", np.int64, whole)[at], cat("count", np.int32, whole)[at], cat("grams", np.int64, whole).reshape(-1, 2)[at]
+    ids, size, sig = cat("ids", np.int64, whole)[at], cat("count", np.int32, whole)[at], cat("grams", np.int64, whole).reshape(-1, 2 + MINIMA)[at]
     key = k.astype(np.uint64) & np.uint64((1 << 40) - 1)
     who = np.unique(key)
     at = np.searchsorted(who, _wide(b"".join(r["k"] for r in part), 5))
     n = np.bincount(at, np.concatenate([np.zeros(0), *[_uncounts(r["count"], len(r["k"]) // 5) for r in part]]), len(who)).astype(np.int64)
-    return pa.table({"k": k, "id": ids, "size": size.astype(np.int64), "shared": n[np.searchsorted(who, key)], "s1": sig[:, 0], "s2": sig[:, 1]})
+    return pa.table({"k": k, "id": ids, "size": size.astype(np.int64), "shared": n[np.searchsorted(who, key)], "s1": sig[:, 0], "s2": sig[:, 1], "minima": pa.ListArray.from_arrays(pa.array(np.arange(len(k) + 1) * MINIMA, pa.int32()), pa.array(sig[:, 2:].ravel()))})
 
 
 def _unpack_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,29 +243,114 @@ def _unpack_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1].astype(np.int64))], names=["gram", "df"])
 
 
-# --------------------------------------------------------------------------- 2. candidates
+# --------------------------------------------------------------------------- 2. crowds
 
 
-def _post_prefix(n: int, threshold: float, parts: int, frequent: np.ndarray, df: np.ndarray, listed: int):
+def _centre(n: int):
+    """Some documents of a crowd -> the n-grams that more than half of them have, in order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        trim()
+        g = np.concatenate([np.zeros(0, np.uint64), *[x for _, x, _ in sets(t[TEXT].combine_chunks(), n)]])
+        each, times = np.unique(g, return_counts=True)
+        return pa.table({"crowd": t["crowd"].slice(0, 1), "centre": pa.array([each[times * 2 > len(t)].tobytes()], pa.binary())})
+
+    return run, "crowd long, centre binary"
+
+
+def _score(n: int, threshold: float):
+    """Documents with the centre of their crowd -> 1024 (m + threshold x), rounded up, and 1024 (1 - threshold) P, rounded down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            trim()
+            score, most = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            for i, g, doc in sets(b.column(1), n):
+                head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(g) else np.zeros(0, int)
+                for s, e in zip(head, np.append(head[1:], len(g)).astype(int)):
+                    row, own = doc[s] + i, g[s:e]
+                    p = np.frombuffer(b.column(3)[int(row)].as_py(), np.uint64)
+                    both = int((p[np.searchsorted(p, own).clip(max=len(p) - 1)] == own).sum()) if len(p) else 0
+                    score[row] = np.ceil(1024 * (len(p) - both + threshold * (len(own) - both)) + 1e-6)
+                    most[row] = np.floor(1024 * (1 - threshold) * len(p) - 1e-6)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score), pa.array(most)], names=["k", "crowd", "score", "most"])
+
+    return run, "k long, crowd long, score long, most long"
+
+
+def _crowds(texts: DataFrame, rep: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(k, weight, crowd, score, most) of the documents in crowds: two of a crowd are linked for certain if the sum of their scores is ``most`` at most."""
+    own = rep.select("k", F.posexplode("minima")).select("k", F.xxhash64("pos", "col").alias("key"))
+    often = own.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where(F.col("times") >= CROWD)
+    # of a document's keys the most frequent; a key leads on to the most frequent one that its documents have
+    best = _with(own, cut(often), "key").groupBy("k").agg(F.max(F.struct("times", "key")).alias("best"), F.collect_list("key").alias("keys"))
+    best = cut(best).select("k", "best", F.explode("keys").alias("key"))
+    leads = cut(best.groupBy("key").agg(F.max("best").alias("to")))
+    of = _with(best.select("k", "key"), leads, "key").groupBy("k").agg(F.max("to")["key"].alias("crowd"))
+    of = cut(of.join(rep.select("k", "weight"), "k"))
+    sizes = cut(of.groupBy("crowd").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD))
+    of = cut(_with(of, sizes, "crowd"))
+    w = Window.partitionBy("crowd").orderBy("k")
+    some = of.withColumn("place", F.row_number().over(w)).where(F.col("place") <= SAMPLE).select("k", "crowd")
+    f, schema = _centre(n)
+    centre = cut(_with(texts.select("k", TEXT), cut(some), "k").groupBy("crowd").applyInArrow(f, schema))
+    salts = F.ceil(F.col("members") / SALT).cast("int")
+    ends = centre.join(sizes, "crowd").select("crowd", "centre", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    f, schema = _score(n, threshold)
+    members = _with(texts.select("k", TEXT), of.select("k", "crowd", "members"), "k").withColumn("salt", F.pmod(F.xxhash64("k"), salts).cast("int"))
+    scored = members.join(ends.hint("shuffle_hash"), ["crowd", "salt"]).select("k", TEXT, "crowd", "centre").mapInArrow(f, schema)
+    return cut(scored.where("score <= most").join(of.select("k", "weight"), "k"))
+
+
+def _ranks(t: pa.Table) -> pa.Table:
+    """A crowd's histogram (score, weight) -> for each score the documents that are linked for certain to one that has it."""
+    score, weight, most = t["score"].to_numpy(), t["weight"].to_numpy(), t["most"].to_numpy()
+    order = np.argsort(score)
+    upto = np.concatenate(([0], np.cumsum(weight[order])))
+    return pa.table({"crowd": t["crowd"], "score": t["score"], "near": upto[np.searchsorted(score[order], most - score, "right")]})
+
+
+def _certain(crowds: DataFrame) -> DataFrame:
+    """(k, links): how many other documents each document is linked to for certain."""
+    bins = crowds.groupBy("crowd", "score", "most").agg(F.sum("weight").alias("weight"))
+    near = cut(bins.groupBy("crowd").applyInArrow(_ranks, "crowd long, score long, near long"))
+    own = F.when(F.col("score") * 2 <= F.col("most"), F.col("weight")).otherwise(0)
+    return crowds.join(near, ["crowd", "score"]).select("k", (F.col("near") - own).alias("links"))
+
+
+def _stars(crowds: DataFrame) -> DataFrame:
+    """Links (a, b) for certain that connect each crowd: of all to the one with the least score. (a, b, most)."""
+    least = crowds.groupBy("crowd").agg(F.min(F.struct("score", "k")).alias("m")).select("crowd", F.col("m.score").alias("least"), F.col("m.k").alias("b"))
+    near = _with(crowds, cut(least), "crowd").where(F.col("score") + F.col("least") <= F.col("most"))
+    return cut(near.where("k <> b").select(F.col("k").alias("a"), "b"))
+
+
+# --------------------------------------------------------------------------- 3. candidates
+
+
+def _post_prefix(n: int, threshold: float, parts: int, frequent, listed: int):
     """Documents -> for each fragment, the postings of the prefixes (40 bits: a clash only adds a candidate), and with each
     document ``FIRST`` n-grams of its prefix, the first by an order that takes the frequent ones first.
 
-    The order of the prefix: n-grams in the frequent list (made with ``listed`` fragments) last, by their count."""
-    names = ["part", "k", "size", "count", "first", "grams"]
+    The order of the prefix: n-grams in the frequent list (a broadcast pair of n-grams and their counts, made with
+    ``listed`` fragments) last, by their count."""
+    names = ["part", "k", "size", "crowd", "count", "first", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often_, df = frequent.value
         for b in batches:
             trim()
             rows: list[list] = [[] for _ in names]
             keys = b.column(0).to_numpy(zero_copy_only=False)
+            crowd = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 3, 4)], 1)
             for i, g, doc in sets(b.column(1), n):
                 if not len(g):
                     continue
                 often = np.zeros(len(g), np.int64)
-                if len(frequent):
+                if len(often_):
                     low = _short(g, listed)
-                    at = np.searchsorted(frequent, low).clip(max=len(frequent) - 1)
-                    often = np.where(frequent[at] == low, df[at], 0)
+                    at = np.searchsorted(often_, low).clip(max=len(often_) - 1)
+                    often = np.where(often_[at] == low, df[at], 0)
                 order = np.lexsort((g, often, doc))
                 g, doc, often = g[order], doc[order], often[order]
                 head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
@@ -251,48 +363,56 @@ def _post_prefix(n: int, threshold: float, parts: int, frequent: np.ndarray, df:
                 # where a prefix has fewer, the last of them again
                 first = g[order][(np.cumsum(prefix) - prefix)[:, None] + np.minimum(np.arange(FIRST), prefix[:, None] - 1)]
                 for p, k, c, (x,) in _pieces(_fragment(g, parts), own, g):
-                    for col, v in zip(rows, (p, keys[who[k] + i].tobytes(), size[k].astype(np.int32).tobytes(), c.astype(np.int32).tobytes(), first[k].tobytes(), _narrow(x, 5))):
+                    for col, v in zip(rows, (p, keys[who[k] + i].tobytes(), size[k].astype(np.int32).tobytes(), crowd[who[k] + i].tobytes(), c.astype(np.int32).tobytes(), first[k].tobytes(), _narrow(x, 5))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=names)
 
-    return run, "part int, k binary, size binary, count binary, first binary, grams binary"
+    return run, "part int, k binary, size binary, crowd binary, count binary, first binary, grams binary"
 
 
-def _pairs(sizes: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i < j) inside consecutive runs of the given sizes, some millions at a time."""
-    start = np.cumsum(sizes) - sizes
-    left = np.concatenate([np.zeros(0, np.int64), np.arange(sizes.sum())]) if len(sizes) else np.zeros(0, np.int64)
-    later = np.repeat(start + sizes, sizes) - left - 1  # partners after each row
+def _pairs(start: np.ndarray, end: np.ndarray, limit: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with start[i] <= j < end[i], some hundred thousands at a time."""
+    later = end - start
     total = np.cumsum(later)
     at = 0
-    while at < len(left):
+    while at < len(later):
         stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, "right")))
         c = later[at:stop]
-        i = np.repeat(left[at:stop], c)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
-        yield i, j
+        yield np.repeat(np.arange(at, stop), c), np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[at:stop], c)
         at = stop
 
 
 def _candidates(threshold: float):
-    """A fragment's prefix postings -> the pairs of documents that meet in one. A pair that has n-grams in common among the
-    first of both documents is reported where the first of these is, and nowhere else."""
+    """A fragment's prefix postings -> the pairs of documents that meet in one and aren't linked for certain. A pair that has n-grams
+    in common among the first of both documents is reported where the first of these is, and nowhere else."""
 
     def run(t: pa.Table) -> pa.Table:
         trim()
         k, s, c = _join(t["k"], np.int64), _join(t["size"], np.int32).astype(np.int64), _join(t["count"], np.int32)
         first, g = _join(t["first"], np.uint64).reshape(-1, FIRST), _wide(b"".join(t["grams"].to_pylist()), 5)
+        crowd = _join(t["crowd"], np.int64).reshape(-1, 3)
+        number = np.lexsort((crowd[:, 1], crowd[:, 0]))  # documents by crowd, then score
+        place = np.empty(len(k), np.int64)
+        place[number] = np.arange(len(k))
         doc = np.repeat(np.arange(len(k)), c)
-        order = np.lexsort((s[doc], g))
+        order = np.lexsort((place[doc], g))
         g, doc = g[order], doc[order]
         size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), len(g)))
         many = np.repeat(size > 1, size)
         g, doc, size = g[many], doc[many], size[size > 1]
+        end = np.repeat(np.cumsum(size), size)
+        which, score, most = (crowd[doc, i] for i in range(3))
+        run_ = np.cumsum(np.concatenate(([True], (which[1:] != which[:-1]) | (g[1:] != g[:-1])))) if len(g) else np.zeros(0, np.int64)
+        # partners of a document come after it: those of its crowd whose score is too large, then those of other crowds
+        each = np.unique(score)
+        run_ *= len(each) + 1
+        start = np.searchsorted(run_ + np.searchsorted(each, score), run_ + np.searchsorted(each, most - score, "right") - 1, "right")
+        start = np.maximum(start, np.arange(1, len(g) + 1))
         names, number = np.unique(k, return_inverse=True)
         found = [np.zeros(0, np.int64)]
-        for i, j in _pairs(size):
+        for i, j in _pairs(start, end):
             at, i, j = g[i], doc[i], doc[j]
-            ok = (s[i] >= _least(s[j], threshold)) & (k[i] != k[j])
+            ok = (np.minimum(s[i], s[j]) >= _least(np.maximum(s[i], s[j]), threshold)) & (k[i] != k[j])
             at, i, j = at[ok], i[ok], j[ok]
             common = (first[i][:, :, None] == first[j][:, None, :]).any(2)
             ok = ~common.any(1) | (first[i, common.argmax(1)] & np.uint64((1 << 40) - 1) == at)
@@ -305,38 +425,38 @@ def _candidates(threshold: float):
     return run, "a long, b long"
 
 
-# --------------------------------------------------------------------------- 3. partial overlaps
+# --------------------------------------------------------------------------- 4. partial overlaps
 
 
-def _post_groups(n: int, parts: int):
-    """Documents with the number of their group -> the n-grams of each document, by group number and fragment."""
-    names = ["grp", "part", "k", "id", "count", "grams"]
+def _post_blocks(n: int, parts: int):
+    """Documents with the number of a block -> the n-grams of each document, by block and fragment."""
+    names = ["block", "part", "k", "weight", "count", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trim()
             rows: list[list] = [[] for _ in names]
-            keys, ids, grp = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3))
-            for i, g, doc in sets(b.column(2), n):
-                for p, d, c, (x,) in _pieces(grp[doc + i] * parts + _fragment(g, parts), doc + i, g):
-                    for col, v in zip(rows, (p // parts, p % parts, keys[d].tobytes(), ids[d].tobytes(), c.astype(np.int32).tobytes(), x.tobytes())):
+            keys, weight, block = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3))
+            for i, g, doc in sets(b.column(1), n):
+                for p, d, c, (x,) in _pieces(block[doc + i] * parts + _fragment(g, parts), doc + i, g):
+                    for col, v in zip(rows, (p // parts, p % parts, keys[d].tobytes(), weight[d].tobytes(), c.astype(np.int32).tobytes(), x.tobytes())):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()) for r in rows[:2]] + [pa.array(r, pa.binary()) for r in rows[2:]], names=names)
 
-    return run, "grp int, part int, k binary, id binary, count binary, grams binary"
+    return run, "block int, part int, k binary, weight binary, count binary, grams binary"
 
 
 _LIMIT = 500_000  # rows looked up at a time
-_PARTIAL = "a long, b long, overlap long, size_a long, size_b long, id_a long, id_b long"
+_PARTIAL = "a long, b long, overlap long, size_a long, size_b long, weight_a long, weight_b long"
 
 
 def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     """Of each candidate pair the partial overlap in one fragment, and the partial sizes of both sets."""
     trim()
-    k, ident, c, g = _join(docs["k"], np.int64), _join(docs["id"], np.int64), _join(docs["count"], np.int32), _join(docs["grams"], np.uint64)
+    k, weight, c, g = _join(docs["k"], np.int64), _join(docs["weight"], np.int64), _join(docs["count"], np.int32), _join(docs["grams"], np.uint64)
     a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
     names, at = np.unique(np.concatenate([k, a, b]), return_index=True)
-    ids = np.concatenate([ident, np.full(2 * len(a), np.iinfo(np.int64).min)])[at]  # a document may have nothing in this fragment
+    weight = np.concatenate([weight, np.zeros(2 * len(a), np.int64)])[at]  # a document may have nothing in this fragment
     fa, fb = np.searchsorted(names, a).astype(np.int32), np.searchsorted(names, b).astype(np.int32)
     owner = np.repeat(np.searchsorted(names, k).astype(np.int32), c)
     size = np.bincount(owner, minlength=len(names))
@@ -345,7 +465,7 @@ def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     for p in range(PIECES):  # a piece of the fragment at a time, so that a large group takes little memory
         mine = piece == p
         _add_overlaps(out, owner[mine], g[mine], fa, fb, len(names))
-    return pa.table({"a": a, "b": b, "overlap": out.astype(np.int64), "size_a": size[fa], "size_b": size[fb], "id_a": ids[fa], "id_b": ids[fb]})
+    return pa.table({"a": a, "b": b, "overlap": out.astype(np.int64), "size_a": size[fa], "size_b": size[fb], "weight_a": weight[fa], "weight_b": weight[fb]})
 
 
 def _add_overlaps(out: np.ndarray, owner: np.ndarray, g: np.ndarray, fa: np.ndarray, fb: np.ndarray, docs: int) -> None:
@@ -375,33 +495,49 @@ def _add_overlaps(out: np.ndarray, owner: np.ndarray, g: np.ndarray, fa: np.ndar
         at += len(x)
 
 
+def _tops(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges, each with the smallest node that these connect it to."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    top = np.arange(len(names))
+    while True:
+        x, y = top[u], top[v]
+        apart = x != y
+        if not apart.any():
+            return names, names[top]
+        u, v = u[apart], v[apart]
+        np.minimum.at(top, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(up := top[top], top):
+            top = up
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's edges as many as connect the same nodes."""
-    top: dict[int, int] = {}
+    """Of a partition's edges as many as connect the same nodes: each node with the smallest one."""
+    a = b = np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
     for batch in batches:
-        u, v = [], []
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            x, y = top.setdefault(a, a), top.setdefault(b, b)
-            while top[x] != x:
-                top[x] = x = top[top[x]]
-            while top[y] != y:
-                top[y] = y = top[top[y]]
-            if x != y:
-                top[max(x, y)] = min(x, y)
-                u.append(a)
-                v.append(b)
-        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["a", "b"])
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+        if sum(len(x) for x, _ in held) > 1_000_000:
+            a, b = _tops(np.concatenate([a, *[x for x, _ in held]]), np.concatenate([b, *[y for _, y in held]]))
+            held = []
+    a, b = _tops(np.concatenate([a, *[x for x, _ in held]]), np.concatenate([b, *[y for _, y in held]]))
+    yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(k, comp): each node of ``edges`` (a, b) with the smallest node it is connected to, by alternating large and small stars."""
+    """(k, comp): each node of ``edges`` (a, b) with the smallest node it is connected to: in one task where the edges that
+    are left of each partition are counted to be few, else by alternating large and small stars."""
     few = edges.select("a", "b").mapInArrow(_forest, "a long, b long")
-    e = cut(few.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    w = Window.partitionBy("u")
+    e = cut(few)
+    if e.count() <= BROADCAST_ROWS:
+        e = cut(e.coalesce(1).mapInArrow(_forest, "a long, b long"))
+        return e.select(F.col("a").alias("k"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("k"), F.col("b").alias("comp")).distinct())
+    e = cut(e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def star(x: DataFrame, large: bool) -> DataFrame:
         both = x.unionByName(x.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else x
-        m = both.select("u", "v", F.least(F.min("v").over(w), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))  # combined before the shuffle: a node may have any number of edges
+        m = both.join(least, "u").select("u", "v", F.least("m", "u").alias("m"))
         if large:  # link the larger neighbours to the smallest
             return m.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         return m.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -420,14 +556,40 @@ def components(edges: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------------- the join
 
 
-def _with(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+def _with(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join on a key, sending ``right`` to all executors only where it is counted to be small."""
     few = right.count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if few else right.hint("shuffle_hash"), on)
-
-
-def _found(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """The documents (k, id, size, rep) and the pairs (a, b, overlap, size_a, size_b, id_a, id_b) of representatives."""
+    return left.join(F.broadcast(right) if few else right.hint("shuffle_hash"), on, how)
+
+
+def _verified(texts: DataFrame, cand: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Of the candidates (a, b) those that are links, with their partial overlaps summed: (a, b, overlap, size_a, size_b, weight_a, weight_b)."""
+    parts = shuffle_partitions(texts.sparkSession)
+    comp = cut(components(cand))
+    pairs = cut(_with(cand.withColumnRenamed("a", "k"), comp, "k").withColumnRenamed("k", "a"))
+    # connected pairs stand together, by blocks of both of their documents where they are many
+    sizes = cut(pairs.groupBy("comp").agg(F.count(F.lit(1)).alias("pairs")))
+    total = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    slots = max(parts, -(-total // BLOCK))
+    side = F.ceil(F.sqrt(F.col("pairs") / BLOCK)).cast("long")
+    own = [F.pmod(F.xxhash64(c), side) for c in ("a", "b")]
+    block = F.pmod(F.xxhash64("comp", F.least(*own), F.greatest(*own)), F.lit(slots)).cast("int")
+    pairs = cut(_with(pairs, sizes, "comp").select("a", "b", block.alias("block")))
+    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("k"), "block").distinct())
+    f, schema = _post_blocks(n, PARTS)
+    # as many partitions as blocks, whatever their bytes: pairs take more time than room
+    left = _with(texts.select("k", TEXT, "weight"), ends, "k").select("k", TEXT, "weight", "block").mapInArrow(f, schema).repartition(slots, "block", "part")
+    right = pairs.select("a", "b", "block", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).repartition(slots, "block", "part")
+    partial = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_overlaps, _PARTIAL)
+    sums = partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("overlap", "size_a", "size_b")], *[F.max(c).alias(c) for c in ("weight_a", "weight_b")])
+    return sums.where(F.col("overlap") >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * F.lit(threshold) - F.lit(1e-9))
+
+
+def _found(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, use: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """The documents (k, id, rep, rep_id, weight), the crowds and the other links of representatives, as ``_verified`` gives them.
+
+    ``use``: "links" takes what crowds tell for certain and finds all other links; "classes" finds what connects documents, so that
+    links between documents that the crowd connects already are passed over; "pairs" finds all links one by one."""
     if not 0 < threshold <= 1 or n < 1:
         raise ValueError("0 < threshold <= 1 and n >= 1")
     spark = docs.sparkSession
@@ -436,54 +598,79 @@ def _found(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str
     f, schema = _post_all(n, parts)
     f2, schema2 = _shared(parts)
     one = cut(keyed.mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2))
-    each = cut(one.where("home >= 0").groupBy("home").applyInArrow(_sum_shared, "k long, id long, size long, shared long, s1 long, s2 long"))
+    each = cut(one.where("home >= 0").groupBy("home").applyInArrow(_sum_shared, "k long, id long, size long, shared long, s1 long, s2 long, minima array<long>"))
     sig = ["s1", "s2", "size"]
-    least = each.groupBy(*sig).agg(F.min(F.struct("id", "k")).alias("m")).select(*sig, F.col("m.id").alias("rep_id"), F.col("m.k").alias("rep"))
-    each = cut(each.join(least, sig).select("k", "id", "size", "shared", "rep", "rep_id"))
-    some = each.where((F.col("k") == F.col("rep")) & (F.col("shared") >= F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9)))).select("k")
-    ids = F.coalesce(ID, F.lit(np.iinfo(np.int64).max)).alias("id")
-    texts = cut(_with(keyed.select("k", ids, TEXT), some, "k").dropDuplicates(["k"]))
+    least = each.groupBy(*sig).agg(F.min(F.struct("id", "k")).alias("m"), F.count(F.lit(1)).alias("weight")).select(*sig, F.col("m.id").alias("rep_id"), F.col("m.k").alias("rep"), "weight")
+    each = cut(each.join(least, sig).select("k", "id", "size", "shared", "minima", "rep", "rep_id", "weight"))
+    enough = F.col("shared") >= F.ceil(F.col("size") * F.lit(threshold) - F.lit(1e-9))
+    rep = each.where((F.col("k") == F.col("rep")) & (F.col("size") > 0) & enough).select("k", "weight", "minima")
+    texts = cut(_with(keyed.select("k", TEXT), rep.select("k", "weight"), "k").dropDuplicates(["k"]))
+    crowds = _crowds(texts, rep, n, threshold) if use != "pairs" else None
+    if crowds is None:
+        of = texts.select("k", TEXT, F.col("k").alias("crowd"), F.lit(_ALONE).alias("score"), F.lit(0).cast("long").alias("most"))
+    else:
+        own = crowds.select("k", "crowd", "score", "most")
+        if use == "classes":  # all that the crowd connects count as linked to each other
+            stars = _stars(crowds)
+            own = cut(stars.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(own, "k").select("k", "crowd", F.lit(0).cast("long").alias("score"), F.lit(0).cast("long").alias("most")))
+        of = _with(texts.select("k", TEXT), own, "k", "left").select("k", TEXT, F.coalesce("crowd", "k").alias("crowd"), F.coalesce("score", F.lit(_ALONE)).alias("score"), F.coalesce("most", F.lit(0)).alias("most"))
     hot = one.where("home = -1").select("grams", "count").mapInArrow(_unpack_frequent, "gram long, df long").orderBy(F.desc("df"), "gram").limit(FREQUENT).toArrow()
     gram, df = hot["gram"].to_numpy().astype(np.uint64), hot["df"].to_numpy()
     order = np.argsort(gram)
-    f, schema = _post_prefix(n, threshold, max(1, parts // 2), gram[order], df[order], parts)
+    f, schema = _post_prefix(n, threshold, max(1, parts // 2), spark.sparkContext.broadcast((gram[order], df[order])), parts)
     f2, schema2 = _candidates(threshold)
-    cand = cut(texts.select("k", TEXT).mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2).distinct())
-    comp = cut(components(cand).withColumn("grp", F.pmod(F.xxhash64("comp"), F.lit(parts)).cast("int")).select("k", "grp"))
-    f, schema = _post_groups(n, PARTS)
-    # as many partitions as groups, whatever their bytes: pairs take more time than room
-    left = _with(texts, comp, "k").select("k", "id", TEXT, "grp").mapInArrow(f, schema).repartition(parts, "grp", "part")
-    right = _with(cand.withColumnRenamed("a", "k"), comp, "k").select(F.col("k").alias("a"), "b", "grp", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).repartition(parts, "grp", "part")
-    partial = left.groupBy("grp", "part").cogroup(right.groupBy("grp", "part")).applyInArrow(_overlaps, _PARTIAL)
-    total = partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("overlap", "size_a", "size_b")], *[F.max(c).alias(c) for c in ("id_a", "id_b")])
-    return each, total.where(F.col("overlap") >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * F.lit(threshold) - F.lit(1e-9))
+    cand = cut(of.mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2).distinct())
+    return each, crowds, _verified(texts, cand, n, threshold)
 
 
 def _null(c):
     """Identifiers were made comparable by taking null for the largest; this takes them back."""
-    return F.when(c == F.lit(np.iinfo(np.int64).max), F.lit(None)).otherwise(c)
+    return F.when(c == F.lit(_LAST), F.lit(None)).otherwise(c)
+
+
+def _classes(each: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rep, comp, class): of the representatives that have links, the smallest identifier among all that they are connected to."""
+    comp = cut(components(edges))
+    own = _with(each.where("k = rep").select("k", "rep_id"), comp, "k")
+    least = own.groupBy("comp").agg(F.min(F.struct("rep_id", "k")).alias("m")).select("comp", F.col("m.rep_id").alias("class_id"), F.col("m.k").alias("first"))
+    return _with(comp.withColumnRenamed("k", "rep"), cut(least), "comp")
+
+
+def links(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links) of all documents: how many other documents each is linked to, copies and all, and the smallest
+    identifier of those that it is connected to by links."""
+    each, crowds, found = _found(docs, n, threshold, id_col, text_col, "links")
+    found = cut(found.select("a", "b", "weight_a", "weight_b"))
+    classes = cut(_classes(each, found.select("a", "b").unionByName(_stars(crowds))))
+    count = F.explode(F.array(F.struct(F.col("a").alias("rep"), F.col("weight_b").alias("links")), F.struct(F.col("b").alias("rep"), F.col("weight_a").alias("links"))))
+    near = found.select(count.alias("x")).select("x.*").unionByName(_certain(crowds).withColumnRenamed("k", "rep")).groupBy("rep").agg(F.sum("links").alias("links"))
+    info = cut(classes.join(near, "rep", "left").select("rep", "class_id", "links"))
+    out = _with(each.select("id", "rep", "rep_id", "weight"), info, "rep", "left")
+    n_links = F.col("weight") - 1 + F.coalesce("links", F.lit(0))
+    return out.select(_null(F.col("id")).alias("doc_id"), _null(F.coalesce("class_id", "rep_id")).alias("class_id"), n_links.cast("long").alias("n_links"))
 
 
 def join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(left_id, right_id, jaccard) of all pairs, smaller identifier first. Documents with equal sets are paired with
-    their representative, which alone is paired with others."""
-    each, found = _found(docs, n, threshold, id_col, text_col)
+    """(left_id, right_id, jaccard) of all linked pairs of different sets, each set represented by the smallest identifier that has it.
+    Their number grows with the square of a crowd of near copies; ``links`` tells the same in a row per document."""
+    each, _, found = _found(docs, n, threshold, id_col, text_col, "pairs")
+    rep = each.where("k = rep").select("k", "id")
     j = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    pairs = found.select(F.least("id_a", "id_b").alias("left_id"), F.greatest("id_a", "id_b").alias("right_id"), F.round(j, 6).alias("jaccard"))
-    same = each.where("k <> rep").select(F.col("rep_id").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("jaccard"))
-    out = pairs.unionByName(same)
-    return out.select(_null(F.col("left_id")).alias("left_id"), _null(F.col("right_id")).alias("right_id"), "jaccard")
+    pairs = found.select("a", "b", F.round(j, 6).alias("jaccard"))
+    for c in ("a", "b"):
+        pairs = pairs.join(rep.select(F.col("k").alias(c), F.col("id").alias(f"id_{c}")), c)
+    return pairs.select(_null(F.least("id_a", "id_b")).alias("left_id"), _null(F.greatest("id_a", "id_b")).alias("right_id"), "jaccard")
 
 
 def dedup(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of connected pairs, that of the smallest identifier; the columns stay as they are."""
-    each, found = _found(docs, n, threshold, id_col, text_col)
-    comp = components(found.select("a", "b"))
-    rep = each.join(comp.select(F.col("k").alias("rep"), "comp"), "rep", "left").select("k", "id", F.coalesce("comp", "rep").alias("comp"))
-    w = Window.partitionBy("comp").orderBy("id", "k")
-    out = cut(rep.withColumn("first", F.first("k").over(w)).where("k <> first").select("k"))
-    k = fresh(docs, "k")
-    own = docs.withColumn(k, F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")))
-    lost = out.withColumnRenamed("k", f"{k}r")
+    """``docs`` with one document of each group of connected documents, that of the smallest identifier; the columns stay as they are."""
+    each, crowds, found = _found(docs, n, threshold, id_col, text_col, "classes")
+    classes = cut(_classes(each, found.select("a", "b").unionByName(_stars(crowds))))
+    all_ = _with(each.select("k", "id", "rep"), classes.select("rep", "first"), "rep", "left")
+    out = cut(all_.where(F.col("k") != F.coalesce("first", "rep")).select("k", "id"))
+    k, i = fresh(docs, "k"), fresh(docs, "i")
+    number = F.col(f"`{id_col}`").cast("long")
+    own = docs.withColumns({k: F.xxhash64(number, F.col(f"`{text_col}`").cast("string")), i: F.coalesce(number, F.lit(_LAST))})
+    lost = out.select(F.col("k").alias(f"{k}r"), F.col("id").alias(f"{i}r"))
     lost = F.broadcast(lost) if lost.count() <= BROADCAST_ROWS else lost.hint("shuffle_hash")
-    return own.join(lost, F.col(k) == F.col(f"{k}r"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return own.join(lost, (F.col(k) == F.col(f"{k}r")) & (F.col(i) == F.col(f"{i}r")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

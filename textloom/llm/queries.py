@@ -45,7 +45,7 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.join(_table(spark, sf_dir, "documents"))
+    return near_dedup.links(_table(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,13 +66,15 @@ FROM (SELECT doc_id, text, count(*) AS n_rows FROM documents WHERE text IS NOT N
 """
 
 _JACCARD = r"""
-WITH w AS (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, text, list_sort(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END)) AS grams FROM w WHERE len(w) > 0),
-r AS (SELECT doc_id, grams, min(doc_id) OVER same AS rep, row_number() OVER (same ORDER BY doc_id) AS place FROM s WINDOW same AS (PARTITION BY grams)),
-g AS (SELECT doc_id, len(grams) AS size, unnest(grams) AS gram FROM r WHERE place = 1),
-p AS (SELECT a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS shared, a.size + b.size AS total FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT left_id, right_id, round(shared / (total - shared), 6) AS jaccard FROM p WHERE shared >= 0.5 * (total - shared)
-UNION ALL SELECT rep, doc_id, 1.0 FROM r WHERE place > 1
+WITH RECURSIVE w AS (SELECT row_number() OVER (ORDER BY doc_id, text) AS n, doc_id, w FROM (SELECT DISTINCT doc_id, text, regexp_extract_all(lower(text), '[a-z0-9\x{80}-\x{10FFFF}]+') AS w FROM documents)),
+s AS (SELECT n, list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [array_to_string(w, ' ')] END) AS grams FROM w WHERE len(w) > 0),
+g AS (SELECT n, len(grams) AS size, unnest(grams) AS gram FROM s),
+p AS (SELECT a.n AS a, b.n AS b, count(*) AS shared, a.size + b.size AS total FROM g a JOIN g b ON a.gram = b.gram AND a.n <> b.n GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b FROM p WHERE shared >= 0.5 * (total - shared)),
+r(n, m) AS (SELECT n, n FROM w UNION SELECT r.n, e.b FROM r JOIN e ON e.a = r.m),
+c AS (SELECT n, min(m) AS m FROM r GROUP BY n)
+SELECT w.doc_id, t.doc_id AS class_id, (SELECT count(*) FROM e WHERE e.a = w.n) AS n_links
+FROM w JOIN c ON c.n = w.n JOIN w t ON t.n = c.m
 """
 
 _REPEATS = r"""
