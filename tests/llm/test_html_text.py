@@ -1,3 +1,4 @@
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -90,3 +91,34 @@ def test_awkward(spark):
 )
 def test_spanned_rows_formulas_and_drawings(html, want):
     assert text_of(html) == want
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("<style>.h, p#x {display:none} @media print {.y{display:none}} div .y{display:none}</style><p class='a h'>no<p id=x>no<p class=y>yes", "yes"),
+        ("<style>/* .y{display:none} */ i{visibility:hidden} .z{display:none} .z{display:block}</style><i>no<b style='visibility: visible'>yes</b></i><p class=z>too", "yes\n\ntoo"),
+        ("<div style='visibility:hidden'>no<p>no<span style='visibility:visible'>yes</span></div>", "yes"),
+        ("<style>.h{display:none}</style><p class=h style='display:block'>yes", "yes"),
+        ("<p style='xdisplay:none'>yes", "yes"),
+        ("<table><tr><td><ul><li>a<li>b</ul><td>c<tr><td>d<td><p>e<p>f</table>", "- a  c\n- b\nd    e\n     f"),
+        ("<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>d</table><tr><td>long<td>e</table>", "a     b c\n      d\nlong  e"),
+        ("<ol start=99999999999><li>a</ol><ol start=1234567890><li>b</ol>", "1. a\n\n1234567890. b"),
+        ("<table><tr><td>" + "w" * 150 + "<td>a<tr><td>b<td>c</table>", "w" * 150 + "  a\nb" + " " * 121 + "c"),
+    ],
+)
+def test_style_sheets_and_cells_of_lines(html, want):
+    assert text_of(html) == want
+
+
+@pytest.mark.parametrize("part", ["<div></p>", "<font></b>", "<table><tr><td>a<td>", "<ul><li>x", "<p><td><div>", "<tfoot><tr><td>x", '<a "x>', "<select><option>", "<svg><g>", "<!--", "</x", "<li><div>", "<style>.a{display:none}</style><p class=a>"])
+def test_pages_of_any_nesting_take_time_in_proportion(part):
+    took = []
+    for n in (20_000, 200_000):
+        html, best = part * (n // len(part)), 9e9
+        for _ in range(2):
+            t = time.process_time()
+            text_of(html)
+            best = min(best, time.process_time() - t)
+        took.append(best)
+    assert took[1] < 30 * took[0] + 0.5
