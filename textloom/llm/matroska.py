@@ -4,9 +4,12 @@ The parser walks the EBML elements (variable-length identifiers and sizes, unkno
 clusters), reads time scale, tracks, clusters and cues, and takes apart simple blocks and block groups with any
 lacing (Xiph, EBML, fixed). It reads headers only: a packet is given by its byte range, never by a copy of its bytes.
 
-Defined results: null media give no rows; empty, truncated or foreign bytes give what could be read before the
-fault and no error; packets of tracks without an entry have null codec and type; times are nanoseconds; repeated
-rows are parsed again; other columns are ignored.
+Info, tracks and cues hold for their whole segment, wherever in it they stand.
+
+Defined results: null media give no rows; empty, truncated or foreign bytes, and numbers of more than 8 bytes, give what
+could be read before the fault and no error; a time, duration or byte offset that 64 bits can't hold is null; packets
+of tracks without an entry have null codec and type; times are nanoseconds; very long files are read whole; repeated
+rows are parsed again; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,21 +63,55 @@ def elements(b: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]
         at = stop
 
 
+def children(b: bytes, s: int, e: int) -> Iterator[tuple[int, int, int]]:
+    """(id, data start, data end) of elements that must lie within a range whole."""
+    for ident, _, x, y in elements(b, s, e):
+        if y < 0 or y > e:
+            raise Fault("truncated")
+        yield ident, x, y
+
+
 def _uint(b: bytes, s: int, e: int) -> int:
+    if e - s > 8:
+        raise Fault("number")
     return int.from_bytes(b[s:e], "big")
 
 
+def _long(n: int | None) -> int | None:
+    """The number if 64 bits with a sign can hold it."""
+    return n if n is not None and -(2**63) <= n < 2**63 else None
+
+
 def _float(b: bytes, s: int, e: int) -> float:
     return struct.unpack(">f" if e - s == 4 else ">d", b[s:e])[0] if e - s in (4, 8) else 0.0
 
 
+@dataclass(slots=True)
+class Packet:
+    """``time`` and ``duration`` in units of the scale until the segment ends, then in nanoseconds."""
+
+    track: int
+    time: int | None
+    duration: int | None
+    key: bool
+    lacing: int
+    index: int
+    frames: int
+    start: int
+    end: int
+    cluster: int
+    kind: str | None = None
+    codec: str | None = None
+    cue: bool = False
+
+
 @dataclass
 class Media:
     scale: int = 1_000_000
     duration: float | None = None
     tracks: dict[int, dict] = field(default_factory=dict)
-    #: track, relative time in units of the scale, duration or None, keyframe, lacing, start, end, cluster's offset in the segment
-    packets: list[tuple] = field(default_factory=list)
+    packets: list[Packet] = field(default_factory=list)
+    #: time in units of the scale, track, cluster's offset in the segment
     cues: list[tuple[int, int, int]] = field(default_factory=list)
     fault: str | None = None
 
@@ -133,12 +170,8 @@ def _block(m: Media, b: bytes, s: int, e: int, cluster: tuple[int, int], simple:
     if simple:
         key = bool(flags & 0x80)
     frames = lace(b, s + n + 3, e, kind)
-    # frames of a lace follow each other by the track's default duration, or share the block's duration
-    step = m.tracks.get(track, {}).get("default")
     for i, (fs, fe) in enumerate(frames):
-        ns = (cluster[0] + rel) * m.scale
-        each = duration * m.scale // len(frames) if duration is not None else step
-        m.packets.append((track, ns + i * (each or 0), each, key, kind, i, fs, fe, cluster[1]))
+        m.packets.append(Packet(track, cluster[0] + rel, duration, key, kind, i, len(frames), fs, fe, cluster[1]))
 
 
 def _cluster(m: Media, b: bytes, s: int, e: int, offset: int, unknown: bool) -> int:
@@ -155,9 +188,7 @@ def _cluster(m: Media, b: bytes, s: int, e: int, offset: int, unknown: bool) ->
             _block(m, b, ds, de, (time, offset), True, None, False)
         elif ident == GROUP:
             block, duration, key = None, None, True
-            for i2, _, s2, e2 in elements(b, ds, de):
-                if e2 > de or e2 < 0:
-                    raise Fault("truncated")
+            for i2, s2, e2 in children(b, ds, de):
                 if i2 == BLOCK:
                     block = (s2, e2)
                 elif i2 == BLOCK_DURATION:
@@ -175,7 +206,12 @@ def parse(b: bytes) -> Media:
     try:
         for ident, _, s, e in elements(b, 0, len(b)):
             if ident == SEGMENT:
-                _segment(m, b, s, min(e, len(b)) if e >= 0 else len(b))
+                first = len(m.packets)
+                m.scale, m.tracks, m.cues = 1_000_000, {}, []
+                try:
+                    _segment(m, b, s, min(e, len(b)) if e >= 0 else len(b))
+                finally:
+                    _settle(m, first)
                 if e > len(b):
                     raise Fault("truncated")
     except Fault as f:
@@ -183,6 +219,17 @@ def parse(b: bytes) -> Media:
     return m
 
 
+def _settle(m: Media, first: int) -> None:
+    """Give a segment's packets their times, and what its tracks and cues say of them."""
+    cues = set(m.cues)
+    for p in m.packets[first:]:
+        t = m.tracks.get(p.track, {})
+        p.kind, p.codec, p.cue = t.get("type"), t.get("codec"), p.index == 0 and (p.time, p.track, p.cluster) in cues
+        # frames of a lace follow each other by the track's default duration, or share the block's duration
+        each = t.get("default") if p.duration is None else p.duration * m.scale // p.frames
+        p.time, p.duration = _long(p.time * m.scale + p.index * (each or 0)), _long(each)
+
+
 def _segment(m: Media, b: bytes, s: int, e: int) -> None:
     at = s
     while at < e:
@@ -194,16 +241,16 @@ def _segment(m: Media, b: bytes, s: int, e: int) -> None:
         elif not unknown and de > e:
             raise Fault("truncated")
         elif ident == INFO:
-            for i, _, x, y in elements(b, ds, stop):
+            for i, x, y in children(b, ds, stop):
                 if i == SCALE:
                     m.scale = _uint(b, x, y) or 1_000_000
                 elif i == DURATION:
                     m.duration = _float(b, x, y)
         elif ident == TRACKS:
-            for i, _, x, y in elements(b, ds, stop):
-                if i == ENTRY and 0 <= y <= stop:
+            for i, x, y in children(b, ds, stop):
+                if i == ENTRY:
                     t: dict = {}
-                    for i2, _, x2, y2 in elements(b, x, y):
+                    for i2, x2, y2 in children(b, x, y):
                         if i2 == NUMBER:
                             t["number"] = _uint(b, x2, y2)
                         elif i2 == TYPE:
@@ -214,14 +261,14 @@ def _segment(m: Media, b: bytes, s: int, e: int) -> None:
                             t["default"] = _uint(b, x2, y2)
                     m.tracks[t.get("number", 0)] = t
         elif ident == CUES:
-            for i, _, x, y in elements(b, ds, stop):
-                if i == POINT and 0 <= y <= stop:
+            for i, x, y in children(b, ds, stop):
+                if i == POINT:
                     time = 0
-                    for i2, _, x2, y2 in elements(b, x, y):
+                    for i2, x2, y2 in children(b, x, y):
                         if i2 == CUE_TIME:
                             time = _uint(b, x2, y2)
-                        elif i2 == POSITIONS and 0 <= y2 <= y:
-                            got = {i3: _uint(b, x3, y3) for i3, _, x3, y3 in elements(b, x2, y2)}
+                        elif i2 == POSITIONS:
+                            got = {i3: _uint(b, x3, y3) for i3, x3, y3 in children(b, x2, y2) if i3 in (CUE_TRACK, CUE_CLUSTER)}
                             m.cues.append((time, got.get(CUE_TRACK, 0), got.get(CUE_CLUSTER, 0)))
         if not unknown and de > e:
             raise Fault("truncated")
@@ -229,22 +276,16 @@ def _segment(m: Media, b: bytes, s: int, e: int) -> None:
 
 
 _LACING = ("none", "xiph", "fixed", "ebml")
-SCHEMA = "doc_id long, track int, track_type string, codec string, packet int, timestamp_ns long, duration_ns long, keyframe boolean, lacing string, lace_index int, byte_start long, byte_end long, cue boolean"
+SCHEMA = "doc_id long, track long, track_type string, codec string, packet int, timestamp_ns long, duration_ns long, keyframe boolean, lacing string, lace_index int, byte_start long, byte_end long, cue boolean"
 
 
 def _arrow_schema() -> pa.Schema:
-    return pa.schema([("doc_id", pa.int64()), ("track", pa.int32()), ("track_type", pa.string()), ("codec", pa.string()), ("packet", pa.int32()), ("timestamp_ns", pa.int64()), ("duration_ns", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("lace_index", pa.int32()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("cue", pa.bool_())])
+    return pa.schema([("doc_id", pa.int64()), ("track", pa.int64()), ("track_type", pa.string()), ("codec", pa.string()), ("packet", pa.int32()), ("timestamp_ns", pa.int64()), ("duration_ns", pa.int64()), ("keyframe", pa.bool_()), ("lacing", pa.string()), ("lace_index", pa.int32()), ("byte_start", pa.int64()), ("byte_end", pa.int64()), ("cue", pa.bool_())])
 
 
 def rows_of(ident: int | None, b: bytes) -> list[tuple]:
     """The packet table's rows for one file."""
-    m = parse(b)
-    cues = {(t * m.scale, k, c) for t, k, c in m.cues}
-    out = []
-    for i, (track, ns, dur, key, kind, j, s, e, c) in enumerate(m.packets):
-        t = m.tracks.get(track, {})
-        out.append((ident, track, t.get("type"), t.get("codec"), i, ns, dur, key, _LACING[kind], j, s, e, (ns, track, c) in cues))
-    return out
+    return [(ident, p.track, p.kind, p.codec, i, p.time, p.duration, p.key, _LACING[p.lacing], p.index, p.start, p.end, p.cue) for i, p in enumerate(parse(b).packets)]
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
