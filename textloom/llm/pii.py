@@ -1,11 +1,14 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust the score.
 
-Kinds: ``email``, ``card`` (Luhn; also between other numbers), ``iban`` (mod-97), ``phone``, ``ssn``, ``ip`` (octets), ``secret`` (keys and
+Kinds: ``email``, ``card`` (Luhn, and an issuer's prefix with a length it uses; also between other numbers), ``iban`` (mod-97), ``phone``, ``ssn``, ``ip`` (octets), ``secret`` (keys and
 tokens named as such). A proposal that fails its validator is dropped; one that overlaps a stronger span gives
 way. A span's score is its kind's base, raised by words nearby that go with the kind and lowered by words that
-speak against it; spans from ``threshold`` on are reported, with code point offsets into the whole text.
+speak against it; spans from ``threshold`` on are reported, with code point offsets into the whole text. Digits and letters of
+these kinds are those of ASCII.
 
-Defined results: null and empty texts have no spans; repeated rows report their spans again; other columns are ignored.
+Defined results: null and empty texts have no spans; of overlapping spans of one score the kind named first above, then the one
+that begins first stays; texts of any length are searched whole; repeated rows report their spans again; an empty
+table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from textloom.llm.common import ID, TEXT, narrow
 
 THRESHOLD = 0.5
 WINDOW = 48
-_PRINTED = re.compile(r"\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,4}(?:\1\d{1,3})?|\d{4}([ \-])\d{6}\2\d{4,5}|\d{4}([ \-])\d{3}\3\d{3}\3\d{3}")
+_PRINTED = re.compile(r"[0-9]{13,19}|[0-9]{4}([ \-])[0-9]{4}\1[0-9]{4}\1[0-9]{1,4}(?:\1[0-9]{1,3})?|[0-9]{4}([ \-])[0-9]{6}\2[0-9]{4,5}|[0-9]{4}([ \-])[0-9]{3}\3[0-9]{3}\3[0-9]{3}")
 SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
@@ -37,14 +40,18 @@ def mod97(iban: str) -> bool:
     return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
+#: Issuers' prefixes with the lengths of their numbers.
+_ISSUED = re.compile(r"4(?:.{12}|.{15}|.{18})|(?:5[1-5]..|222[1-9]|22[3-9].|2[3-6]..|27[01].|2720|220[0-4]).{12}|3[47].{13}|3(?:0[0-5]|[689].).{11,16}|35(?:2[89]|[3-8].).{12,15}|(?:50|5[6-8]|6.).{11,17}")
+
+
 def _card(s: str) -> bool:
-    d = re.sub(r"\D", "", s)
-    return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d)
+    d = re.sub(r"[^0-9]", "", s)
+    return 13 <= len(d) <= 19 and len(set(d)) > 1 and luhn(d) and bool(_ISSUED.fullmatch(d))
 
 
 def _cards(run: str) -> list[tuple[int, int]]:
     """Where cards stand in a run of digit groups: the whole run, or windows of whole groups, those printed as cards are before others."""
-    groups = [m.span() for m in re.finditer(r"\d+", run)]
+    groups = [m.span() for m in re.finditer(r"[0-9]+", run)]
     got = []
     for i, (a, _) in enumerate(groups):
         n = 0
@@ -103,11 +110,11 @@ _W = lambda *words: re.compile(r"(?i)(?<![a-z])(?:" + "|".join(words) + r")(?![a
 KINDS = [
     Kind("email", "@", re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"), None, 0.9, _W("e-?mails?", "mail", "contact", "write", "kontakt", "correo")),
     Kind("secret", r"(?i)(?:token|key|secret|passw|credential|bearer)", re.compile(r"""(?i)(?:token|key|secret|passw(?:or)?d|credentials?|bearer)["']?\s*(?:[:=]\s*|\s)["']?([A-Za-z0-9_\-+/=.]{16,})"""), _secret, 0.8, _W("token", "api", "secret", "password", "auth", "private")),
-    Kind("iban", r"[A-Za-z]{2}\d{2}[ 0-9A-Za-z]", re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}\d{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"), _iban, 0.85, _W("iban", "bank", "account", "konto", "cuenta", "compte")),
-    Kind("card", r"\d[ \-]?\d", re.compile(r"(?<![\w.\-])\d(?:[ \-]?\d){12,}(?![\w\-]|\.\d)"), _card, 0.75, _W("card", "credit", "visa", "mastercard", "amex", "debit", "payment", "karte", "carte", "tarjeta"), _W("isbn", "serial", "order", "invoice")),
-    Kind("ip", r"\d\.\d", re.compile(r"(?<![\w.\-])\d{1,3}(?:\.\d{1,3}){3}(?![\w\-]|\.\d)"), _ip, 0.65, _W("ip", "address", "host", "server", "client", "login"), _W("version", "release", "section", "chapter")),
-    Kind("ssn", r"\d{3}[- ]\d{2}[- ]\d{4}", re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])|(?<![\w\-])\d{3} \d{2} \d{4}(?![\w\-])"), _ssn, 0.6, _W("ssn", "social", "security", "tax", "tin"), _W("part", "order", "serial", "isbn")),
-    Kind("phone", r"\d", re.compile(r"(?<![\w.\-+(])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?![\w\-]|\.\d)"), _phone, 0.65, _W("phones?", "telephone", "tel", "mobile", "cell", "call", "fax", "telefon", "whatsapp", "sms"), _W("isbn", "order", "serial", "version")),
+    Kind("iban", r"[A-Za-z]{2}[0-9]{2}[ 0-9A-Za-z]", re.compile(r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]{4}){2,7}(?: ?[A-Za-z0-9]{1,3})?(?![A-Za-z0-9])"), _iban, 0.85, _W("iban", "bank", "account", "konto", "cuenta", "compte")),
+    Kind("card", r"[0-9][ \-]?[0-9]", re.compile(r"(?<![\w.\-])[0-9](?:[ \-]?[0-9]){12,}(?![\w\-]|\.[0-9])"), _card, 0.75, _W("card", "credit", "visa", "mastercard", "amex", "debit", "payment", "karte", "carte", "tarjeta"), _W("isbn", "serial", "order", "invoice")),
+    Kind("ip", r"[0-9]\.[0-9]", re.compile(r"(?<![\w.\-])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w\-]|\.[0-9])"), _ip, 0.65, _W("ip", "address", "host", "server", "client", "login"), _W("version", "release", "section", "chapter")),
+    Kind("ssn", r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}", re.compile(r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])|(?<![\w\-])[0-9]{3} [0-9]{2} [0-9]{4}(?![\w\-])"), _ssn, 0.6, _W("ssn", "social", "security", "tax", "tin"), _W("part", "order", "serial", "isbn")),
+    Kind("phone", r"[0-9]", re.compile(r"(?<![\w.\-+(])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{1,4}(?:[ .\-]?[0-9]{2,4}){1,4}|\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}|[0-9]{3}[ .\-][0-9]{3}[ .\-][0-9]{4})(?![\w\-]|\.[0-9])"), _phone, 0.65, _W("phones?", "telephone", "tel", "mobile", "cell", "call", "fax", "telefon", "whatsapp", "sms"), _W("isbn", "order", "serial", "version")),
 ]
 
 
