@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from textloom.llm import common, suffix_dedup
 
@@ -66,3 +67,11 @@ def test_awkward(spark):
     assert spans(empty(spark), 6) == set()
     d = spark.createDataFrame([(None, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f")], "doc_id long, text string")
     assert spans(d, 6) == {(1, 0, 6, False), (None, 0, 6, True)}
+
+
+def test_texts_whose_hashes_agree(spark, monkeypatch):
+    random.seed(6)
+    texts = [" ".join(random.choice("abc") for _ in range(random.randrange(0, 25))) for _ in range(12)]
+    rows = list(enumerate(texts + texts[:3]))
+    monkeypatch.setattr(suffix_dedup, "_key", lambda: F.pmod(F.length(suffix_dedup.TEXT), F.lit(2)).cast("long"))
+    assert spans(spark.createDataFrame(rows, "doc_id long, text string"), 6) == brute(rows, 6)

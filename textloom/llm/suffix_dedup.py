@@ -9,12 +9,14 @@ Most suffixes can't repeat, and are left out before the sort. A repeated window
 and among the runs in a window the one with the smallest hash is the same wherever the window occurs (its
 anchor). So only windows around anchors that occur twice are sorted; no repeated window is lost.
 
-Documents of equal text (by a 64-bit hash) have the same windows: one of them is sorted for all. All windows of such
-a text are repeated, and in all but the first of its documents they are copies.
-
-Defined results: null, empty and short texts have no windows; a passage that repeats within one text counts; of equal
-windows the first, by identifier and position, is the original and the others are copies; rows that repeat
-identifier and text are one document; an empty table gives none; other columns are ignored.
+Documents of equal text have the same windows: one of them is sorted for all. All windows of such
+a text are repeated, and in all but the first of its documents they are copies. Texts are taken for equal by a 64-bit hash,
+and a second one tells apart texts on which the first agrees.
+
+Defined results: null, empty and short texts have no windows; texts of any length are taken whole; a passage that repeats within
+one text counts; of equal windows the first, by identifier and position, is the original and the others are copies; null
+identifiers come last; rows that repeat identifier and text are one document; an empty table gives none; other
+columns are ignored. Identifiers are integers.
 """
 
 from __future__ import annotations
@@ -217,6 +219,10 @@ def _spans(threshold: int):
     return run, "k long, start long, end long, copy boolean"
 
 
+def _key():
+    return F.xxhash64(TEXT)
+
+
 def repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per repeated span: (doc_id, start_word, end_word, is_copy).
 
@@ -227,10 +233,20 @@ def repeats(docs: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc_id",
     parts = 2 * shuffle_partitions(docs.sparkSession)
     last = np.iinfo(np.int64).max  # null identifiers come last
     d = narrow(docs, id_col, text_col).where(F.col(TEXT).isNotNull())
-    d = d.select(F.xxhash64(TEXT).alias("k"), F.coalesce(ID, F.lit(last)).alias("id"), TEXT)
-    same = d.groupBy("k", "id").agg(F.count(F.lit(1)).alias("rows"), F.max(n_words(F.col(TEXT))).alias("n")).where(F.col("n") >= threshold)
-    tops = same.groupBy("k").agg(F.min("id").alias("rep"), (F.count(F.lit(1)) > 1).alias("several"))  # combined before the shuffle
-    same = cut(same.join(tops, "k"))
+    d = d.select(_key().alias("k"), F.coalesce(ID, F.lit(last)).alias("id"), TEXT)
+    second = F.xxhash64(F.lit(1), TEXT)
+
+    def grouped(d: DataFrame) -> DataFrame:
+        same = d.groupBy("k", "id").agg(F.count(F.lit(1)).alias("rows"), F.max(n_words(F.col(TEXT))).alias("n"), F.min(second).alias("lo"), F.max(second).alias("hi")).where(F.col("n") >= threshold)
+        # combined before the shuffle
+        tops = same.groupBy("k").agg(F.min("id").alias("rep"), (F.count(F.lit(1)) > 1).alias("several"), (F.min("lo") < F.max("hi")).alias("mixed"))
+        return cut(same.join(tops, "k"))
+
+    same = grouped(d)
+    mixed = same.where("mixed").select(F.col("k").alias("m")).distinct()
+    if not mixed.isEmpty():  # texts that the first hash doesn't tell apart go by both
+        d = d.join(mixed, d["k"] == mixed["m"], "left").select(F.when(F.col("m").isNull(), F.col("k")).otherwise(F.xxhash64("k", second)).alias("k"), "id", TEXT)
+        same = grouped(d)
     f, schema = _find_anchors(threshold, parts)
     got = d.select("k", TEXT).mapInArrow(f, schema).groupBy("part").applyInArrow(_twice, "k long, pos array<int>")
     lists = got.groupBy("k").agg(F.flatten(F.collect_list("pos")).alias("pos"))
