@@ -16,8 +16,8 @@ linked if their sets have a Jaccard similarity of at least ``threshold``. All li
    size - ceil(threshold * size) + 1 n-grams. Two linked sets share an n-gram of their prefixes (and differ
    in size by the threshold at most), so postings that meet in a fragment give all candidates. Pairs that are certain
    by 2 are passed over, not made.
-4. Fragments count the partial overlaps of the candidates separately, for blocks of pairs whose number follows from
-   the count of candidates, and the sum per pair decides.
+4. Fragments count the partial overlaps of the candidates separately, for blocks of pairs that met in the same n-gram (their
+   number follows from the count of candidates), and the sum per pair decides.
 
 The order only needs to be the same everywhere; the list of most frequent n-grams that it moves to the end may thus be
 bounded (``FREQUENT``) without any pair being lost.
@@ -246,36 +246,61 @@ def _unpack_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 # --------------------------------------------------------------------------- 2. crowds
 
 
-def _centre(n: int):
-    """Some documents of a crowd -> the n-grams that more than half of them have, in order."""
+def _centres(n: int, threshold: float):
+    """A sample of a crowd -> centres: of the document with most neighbours in the sample and these, the n-grams that more than
+    half have; then the same of the rest, while there are neighbours. A crowd may have gathered several families."""
 
     def run(t: pa.Table) -> pa.Table:
         trim()
-        g = np.concatenate([np.zeros(0, np.uint64), *[x for _, x, _ in sets(t[TEXT].combine_chunks(), n)]])
-        each, times = np.unique(g, return_counts=True)
-        return pa.table({"crowd": t["crowd"].slice(0, 1), "centre": pa.array([each[times * 2 > len(t)].tobytes()], pa.binary())})
-
-    return run, "crowd long, centre binary"
+        own: dict[int, np.ndarray] = {}
+        for i, g, doc in sets(t[TEXT].combine_chunks(), n):
+            for r in np.unique(doc):
+                own[i + int(r)] = g[doc == r]
+        g, doc = np.concatenate([np.zeros(0, np.uint64), *own.values()]), np.repeat(np.arange(len(own)), [len(x) for x in own.values()])
+        order = np.argsort(g, kind="stable")
+        g, doc = g[order], doc[order]
+        names, at = np.unique(g, return_inverse=True)
+        has = np.zeros((len(own), len(names)), np.float32)
+        has[doc, at] = 1
+        both, size = has @ has.T, has.sum(1)
+        near = both >= threshold * (size[:, None] + size[None, :] - both)
+        left, out = np.ones(len(own), bool), []
+        while left.any():
+            count = (near & left).sum(1) * left
+            top = int(np.argmax(count))
+            if count[top] < 3:
+                break
+            which = near[top] & left
+            out.append(names[has[which].sum(0) * 2 > which.sum()].tobytes())
+            left &= ~which
+        return pa.table({"crowd": t["crowd"].slice(0, 1), "centres": pa.array([out], pa.list_(pa.binary()))})
+
+    return run, "crowd long, centres array<binary>"
 
 
 def _score(n: int, threshold: float):
-    """Documents with the centre of their crowd -> 1024 (m + threshold x), rounded up, and 1024 (1 - threshold) P, rounded down."""
+    """Documents with the centres of their crowd -> the centre that they are nearest to, 1024 (m + threshold x), rounded up, and
+    1024 (1 - threshold) P, rounded down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trim()
-            score, most = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
+            score, most, best = np.ones(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.int64)
             for i, g, doc in sets(b.column(1), n):
                 head = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(g) else np.zeros(0, int)
                 for s, e in zip(head, np.append(head[1:], len(g)).astype(int)):
                     row, own = doc[s] + i, g[s:e]
-                    p = np.frombuffer(b.column(3)[int(row)].as_py(), np.uint64)
-                    both = int((p[np.searchsorted(p, own).clip(max=len(p) - 1)] == own).sum()) if len(p) else 0
-                    score[row] = np.ceil(1024 * (len(p) - both + threshold * (len(own) - both)) + 1e-6)
-                    most[row] = np.floor(1024 * (1 - threshold) * len(p) - 1e-6)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(score), pa.array(most)], names=["k", "crowd", "score", "most"])
+                    for k, c in enumerate(b.column(3)[int(row)]):
+                        p = np.frombuffer(c.as_buffer(), np.uint64)
+                        if not len(p):
+                            continue
+                        both = int((p[np.searchsorted(p, own).clip(max=len(p) - 1)] == own).sum())
+                        x, y = int(np.ceil(1024 * (len(p) - both + threshold * (len(own) - both)) + 1e-6)), int(np.floor(1024 * (1 - threshold) * len(p) - 1e-6))
+                        if x <= y and (not most[row] or x * most[row] < score[row] * y):
+                            score[row], most[row], best[row] = x, y, k
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(best), pa.array(score), pa.array(most)], names=["k", "crowd", "centre", "score", "most"])
 
-    return run, "k long, crowd long, score long, most long"
+    return run, "k long, crowd long, centre long, score long, most long"
 
 
 def _crowds(texts: DataFrame, rep: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -286,20 +311,20 @@ def _crowds(texts: DataFrame, rep: DataFrame, n: int, threshold: float) -> DataF
     best = _with(own, cut(often), "key").groupBy("k").agg(F.max(F.struct("times", "key")).alias("best"), F.collect_list("key").alias("keys"))
     best = cut(best).select("k", "best", F.explode("keys").alias("key"))
     leads = cut(best.groupBy("key").agg(F.max("best").alias("to")))
-    of = _with(best.select("k", "key"), leads, "key").groupBy("k").agg(F.max("to")["key"].alias("crowd"))
-    of = cut(of.join(rep.select("k", "weight"), "k"))
+    of = cut(_with(best.select("k", "key"), leads, "key").groupBy("k").agg(F.max("to")["key"].alias("crowd")))
     sizes = cut(of.groupBy("crowd").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= CROWD))
     of = cut(_with(of, sizes, "crowd"))
     w = Window.partitionBy("crowd").orderBy("k")
     some = of.withColumn("place", F.row_number().over(w)).where(F.col("place") <= SAMPLE).select("k", "crowd")
-    f, schema = _centre(n)
-    centre = cut(_with(texts.select("k", TEXT), cut(some), "k").groupBy("crowd").applyInArrow(f, schema))
+    f, schema = _centres(n, threshold)
+    centres = cut(_with(texts.select("k", TEXT), cut(some), "k").groupBy("crowd").applyInArrow(f, schema).where(F.size("centres") > 0))
     salts = F.ceil(F.col("members") / SALT).cast("int")
-    ends = centre.join(sizes, "crowd").select("crowd", "centre", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    ends = centres.join(sizes, "crowd").select("crowd", "centres", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    of = _with(of, centres.select("crowd"), "crowd")
+    members = _with(texts, cut(of), "k").withColumn("salt", F.pmod(F.xxhash64("k"), salts).cast("int"))
     f, schema = _score(n, threshold)
-    members = _with(texts.select("k", TEXT), of.select("k", "crowd", "members"), "k").withColumn("salt", F.pmod(F.xxhash64("k"), salts).cast("int"))
-    scored = members.join(ends.hint("shuffle_hash"), ["crowd", "salt"]).select("k", TEXT, "crowd", "centre").mapInArrow(f, schema)
-    return cut(scored.where("score <= most").join(of.select("k", "weight"), "k"))
+    scored = members.join(ends.hint("shuffle_hash"), ["crowd", "salt"]).select("k", TEXT, "crowd", "centres").mapInArrow(f, schema).where("score <= most")
+    return cut(scored.join(rep.select("k", "weight"), "k").select("k", "weight", F.xxhash64("crowd", "centre").alias("crowd"), "score", "most"))
 
 
 def _ranks(t: pa.Table) -> pa.Table:
@@ -383,7 +408,7 @@ def _pairs(start: np.ndarray, end: np.ndarray, limit: int = 200_000) -> Iterator
 
 
 def _candidates(threshold: float):
-    """A fragment's prefix postings -> the pairs of documents that meet in one and aren't linked for certain. A pair that has n-grams
+    """A fragment's prefix postings -> the pairs of documents that meet in one and aren't linked for certain, with the n-gram where they meet. A pair that has n-grams
     in common among the first of both documents is reported where the first of these is, and nowhere else."""
 
     def run(t: pa.Table) -> pa.Table:
@@ -409,7 +434,7 @@ def _candidates(threshold: float):
         start = np.searchsorted(run_ + np.searchsorted(each, score), run_ + np.searchsorted(each, most - score, "right") - 1, "right")
         start = np.maximum(start, np.arange(1, len(g) + 1))
         names, number = np.unique(k, return_inverse=True)
-        found = [np.zeros(0, np.int64)]
+        found, met = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, j in _pairs(start, end):
             at, i, j = g[i], doc[i], doc[j]
             ok = (np.minimum(s[i], s[j]) >= _least(np.maximum(s[i], s[j]), threshold)) & (k[i] != k[j])
@@ -417,55 +442,73 @@ def _candidates(threshold: float):
             common = (first[i][:, :, None] == first[j][:, None, :]).any(2)
             ok = ~common.any(1) | (first[i, common.argmax(1)] & np.uint64((1 << 40) - 1) == at)
             i, j = number[i[ok]], number[j[ok]]
-            found.append(np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j)))
-        pair = np.unique(np.concatenate(found))
+            pair, first_ = np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j), return_index=True)
+            found.append(pair)
+            met.append(at[ok][first_])
+        pair, first_ = np.unique(np.concatenate(found), return_index=True)
         n = max(len(names), 1)
-        return pa.table({"a": pa.array(names[pair // n] if len(pair) else pair, pa.int64()), "b": pa.array(names[pair % n] if len(pair) else pair, pa.int64())})
+        return pa.table({"a": pa.array(names[pair // n] if len(pair) else pair, pa.int64()), "b": pa.array(names[pair % n] if len(pair) else pair, pa.int64()), "met": pa.array(np.concatenate(met)[first_].astype(np.int64))})
 
-    return run, "a long, b long"
+    return run, "a long, b long, met long"
 
 
 # --------------------------------------------------------------------------- 4. partial overlaps
 
 
-def _post_blocks(n: int, parts: int):
-    """Documents with the number of a block -> the n-grams of each document, by block and fragment."""
-    names = ["block", "part", "k", "weight", "count", "grams"]
+def _grams(n: int, parts: int, coarse: bool):
+    """Documents -> the n-grams of each (48 bits), by fragment; ``coarse``: 16 bits of every other n-gram, in one fragment."""
+    names = ["k", "weight", "total", "part", "grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             trim()
-            rows: list[list] = [[] for _ in names]
-            keys, weight, block = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2, 3))
+            keys, weight = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            row, part, grams_ = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+            total = np.zeros(len(keys), np.int64)
             for i, g, doc in sets(b.column(1), n):
-                for p, d, c, (x,) in _pieces(block[doc + i] * parts + _fragment(g, parts), doc + i, g):
-                    for col, v in zip(rows, (p // parts, p % parts, keys[d].tobytes(), weight[d].tobytes(), c.astype(np.int32).tobytes(), x.tobytes())):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()) for r in rows[:2]] + [pa.array(r, pa.binary()) for r in rows[2:]], names=names)
-
-    return run, "block int, part int, k binary, weight binary, count binary, grams binary"
+                total += np.bincount(doc + i, minlength=len(keys))
+                if coarse:
+                    g, doc = g[g & np.uint64(1) == 0] >> np.uint64(1), doc[g & np.uint64(1) == 0]
+                where = (doc + i) * parts + (0 if coarse else _fragment(g, parts))
+                order = np.argsort(where, kind="stable")
+                g, where = g[order], where[order]
+                head = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1]))) if len(g) else np.zeros(0, int)
+                row.append(where[head] // parts)
+                part.append(where[head] % parts)
+                grams_ += [_narrow(g[s:e], 2 if coarse else 6) for s, e in zip(head, np.append(head[1:], len(g)).astype(int))]
+            row, part = np.concatenate(row), np.concatenate(part)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row]), pa.array(weight[row]), pa.array(total[row]), pa.array(part.astype(np.int32)), pa.array(grams_, pa.binary())], names=names)
+
+    return run, "k long, weight long, total long, part int, grams binary"
 
 
 _LIMIT = 500_000  # rows looked up at a time
-_PARTIAL = "a long, b long, overlap long, size_a long, size_b long, weight_a long, weight_b long"
-
-
-def _overlaps(docs: pa.Table, pairs: pa.Table) -> pa.Table:
-    """Of each candidate pair the partial overlap in one fragment, and the partial sizes of both sets."""
-    trim()
-    k, weight, c, g = _join(docs["k"], np.int64), _join(docs["weight"], np.int64), _join(docs["count"], np.int32), _join(docs["grams"], np.uint64)
-    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
-    names, at = np.unique(np.concatenate([k, a, b]), return_index=True)
-    weight = np.concatenate([weight, np.zeros(2 * len(a), np.int64)])[at]  # a document may have nothing in this fragment
-    fa, fb = np.searchsorted(names, a).astype(np.int32), np.searchsorted(names, b).astype(np.int32)
-    owner = np.repeat(np.searchsorted(names, k).astype(np.int32), c)
-    size = np.bincount(owner, minlength=len(names))
-    out = np.zeros(len(a), np.int32)
-    piece = mix(g) % np.uint64(PIECES)
-    for p in range(PIECES):  # a piece of the fragment at a time, so that a large group takes little memory
-        mine = piece == p
-        _add_overlaps(out, owner[mine], g[mine], fa, fb, len(names))
-    return pa.table({"a": a, "b": b, "overlap": out.astype(np.int64), "size_a": size[fa], "size_b": size[fb], "weight_a": weight[fa], "weight_b": weight[fb]})
+_PARTIAL = "a long, b long, met long, overlap long, size_a long, size_b long, total_a long, total_b long, weight_a long, weight_b long"
+
+
+def _overlaps(coarse: bool):
+    """A block's documents and candidate pairs -> of each pair the partial overlap in one fragment, and the partial and whole sizes
+    and the weights of both sets."""
+
+    def run(docs: pa.Table, pairs: pa.Table) -> pa.Table:
+        trim()
+        width = 2 if coarse else 6
+        k, weight, total = (docs[c].to_numpy() for c in ("k", "weight", "total"))
+        c, g = pc.binary_length(docs["grams"]).to_numpy() // width, _wide(b"".join(docs["grams"].to_pylist()), width)
+        a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+        names, at = np.unique(np.concatenate([k, a, b]), return_index=True)
+        weight, total = (np.concatenate([x, np.zeros(2 * len(a), np.int64)])[at] for x in (weight, total))  # a document may have nothing in this fragment
+        fa, fb = np.searchsorted(names, a).astype(np.int32), np.searchsorted(names, b).astype(np.int32)
+        owner = np.repeat(np.searchsorted(names, k).astype(np.int32), c)
+        size = np.bincount(owner, minlength=len(names))
+        out = np.zeros(len(a), np.int32)
+        piece = mix(g) % np.uint64(PIECES)
+        for p in range(PIECES):  # a piece of the fragment at a time, so that a large block takes little memory
+            mine = piece == p
+            _add_overlaps(out, owner[mine], g[mine], fa, fb, len(names))
+        return pa.table({"a": a, "b": b, "met": pairs["met"], "overlap": out.astype(np.int64), "size_a": size[fa], "size_b": size[fb], "total_a": total[fa], "total_b": total[fb], "weight_a": weight[fa], "weight_b": weight[fb]})
+
+    return run
 
 
 def _add_overlaps(out: np.ndarray, owner: np.ndarray, g: np.ndarray, fa: np.ndarray, fb: np.ndarray, docs: int) -> None:
@@ -562,27 +605,37 @@ def _with(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Dat
     return left.join(F.broadcast(right) if few else right.hint("shuffle_hash"), on, how)
 
 
-def _verified(texts: DataFrame, cand: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Of the candidates (a, b) those that are links, with their partial overlaps summed: (a, b, overlap, size_a, size_b, weight_a, weight_b)."""
-    parts = shuffle_partitions(texts.sparkSession)
-    comp = cut(components(cand))
-    pairs = cut(_with(cand.withColumnRenamed("a", "k"), comp, "k").withColumnRenamed("k", "a"))
-    # connected pairs stand together, by blocks of both of their documents where they are many
-    sizes = cut(pairs.groupBy("comp").agg(F.count(F.lit(1)).alias("pairs")))
-    total = sizes.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
-    slots = max(parts, -(-total // BLOCK))
-    side = F.ceil(F.sqrt(F.col("pairs") / BLOCK)).cast("long")
+def _counted(texts: DataFrame, pairs: DataFrame, n: int, coarse: bool) -> DataFrame:
+    """The partial overlaps of the candidates (a, b, met), by blocks of pairs and fragments."""
+    parts = 1 if coarse else PARTS
+    # pairs that met in one n-gram stand together, by blocks of both of their documents where they are many
+    sizes = cut(pairs.groupBy("met").agg(F.count(F.lit(1)).alias("pairs")).where(F.col("pairs") > BLOCK))
+    slots = max(shuffle_partitions(texts.sparkSession), -(-pairs.count() // BLOCK))
+    side = F.coalesce(F.ceil(F.sqrt(F.col("pairs") / BLOCK)).cast("long"), F.lit(1))
     own = [F.pmod(F.xxhash64(c), side) for c in ("a", "b")]
-    block = F.pmod(F.xxhash64("comp", F.least(*own), F.greatest(*own)), F.lit(slots)).cast("int")
-    pairs = cut(_with(pairs, sizes, "comp").select("a", "b", block.alias("block")))
+    block = F.pmod(F.xxhash64("met", F.least(*own), F.greatest(*own)), F.lit(slots)).cast("int")
+    pairs = cut(_with(pairs, sizes, "met", "left").select("a", "b", "met", block.alias("block")))
     ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("k"), "block").distinct())
-    f, schema = _post_blocks(n, PARTS)
+    f, schema = _grams(n, parts, coarse)
+    grams_ = _with(texts.select("k", TEXT, "weight"), cut(ends.select("k").distinct()), "k").select("k", TEXT, "weight").mapInArrow(f, schema)
     # as many partitions as blocks, whatever their bytes: pairs take more time than room
-    left = _with(texts.select("k", TEXT, "weight"), ends, "k").select("k", TEXT, "weight", "block").mapInArrow(f, schema).repartition(slots, "block", "part")
-    right = pairs.select("a", "b", "block", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")).repartition(slots, "block", "part")
-    partial = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_overlaps, _PARTIAL)
-    sums = partial.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("overlap", "size_a", "size_b")], *[F.max(c).alias(c) for c in ("weight_a", "weight_b")])
-    return sums.where(F.col("overlap") >= (F.col("size_a") + F.col("size_b") - F.col("overlap")) * F.lit(threshold) - F.lit(1e-9))
+    left = _with(cut(grams_), ends, "k").select(F.col("block").alias("block"), "part", "k", "weight", "total", "grams").repartition(slots, "block", "part")
+    right = pairs.select("a", "b", "met", "block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).repartition(slots, "block", "part")
+    return left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_overlaps(coarse), _PARTIAL)
+
+
+def _verified(texts: DataFrame, cand: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Of the candidates (a, b, met) those that are links, with their partial overlaps summed: (a, b, overlap, size_a, size_b, weight_a, weight_b).
+
+    A look at 16 bits of half of the n-grams comes first: these overlap as much as the n-grams themselves at least, so a pair goes on
+    if it could be a link with all of the other half in common."""
+    most = F.col("overlap") + F.least(F.col("total_a") - F.col("size_a"), F.col("total_b") - F.col("size_b"))
+    enough = lambda overlap, a, b: overlap >= (F.col(a) + F.col(b) - overlap) * F.lit(threshold) - F.lit(1e-9)
+    # a document without an n-gram in the half has sizes of 0 here: it goes on
+    maybe = enough(most, "total_a", "total_b") | (F.col("total_a") == 0) | (F.col("total_b") == 0)
+    pairs = cut(_counted(texts, cut(cand), n, True).where(maybe).select("a", "b", "met"))
+    sums = _counted(texts, pairs, n, False).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("overlap", "size_a", "size_b")], *[F.max(c).alias(c) for c in ("weight_a", "weight_b")])
+    return sums.where(enough(F.col("overlap"), "size_a", "size_b"))
 
 
 def _found(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str, use: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
@@ -619,7 +672,7 @@ def _found(docs: DataFrame, n: int, threshold: float, id_col: str, text_col: str
     order = np.argsort(gram)
     f, schema = _post_prefix(n, threshold, max(1, parts // 2), spark.sparkContext.broadcast((gram[order], df[order])), parts)
     f2, schema2 = _candidates(threshold)
-    cand = cut(of.mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2).distinct())
+    cand = of.mapInArrow(f, schema).groupBy("part").applyInArrow(f2, schema2).groupBy("a", "b").agg(F.min("met").alias("met"))
     return each, crowds, _verified(texts, cand, n, threshold)
 
 
