@@ -60,3 +60,16 @@ def test_frequencies(spark):
 
 def test_awkward(spark):
     assert L.find(awkward(spark)).count() == 0 and L.find(empty(spark)).count() == 0
+
+
+def test_identifiers_and_short_forms(index):
+    assert found(index, "# SPDX-License-Identifier: MIT\nint main() {}", "/* SPDX-License-Identifier: BSD-3-Clause */", "SPDX-License-Identifier: CC-BY-NC-SA-4.0", "spdx-license-identifier: other", "Released under the ISC License.", "Licensed under the Unlicense") == [(0, "MIT"), (1, "BSD-3-Clause"), (2, "CC-BY-NC-SA-4.0"), (4, "ISC"), (5, "Unlicense")]
+
+
+@pytest.mark.parametrize("edit", ["line", "word", "case"])
+def test_files_with_edited_notices(index, edit):
+    """Every notice within a file of code, with line prefixes, a word more, or in capitals."""
+    for t in L.TEMPLATES:
+        text = {"line": "\n" + re.sub(r"(\S+ \S+ \S+) ", r"\1\n// ", t.text), "word": " " + t.text + " indeed", "case": " " + t.text.upper()}[edit]
+        code = "def f(x):\n    return x + 1\n" * 40
+        assert [x for x in found(index, code + text + "\n" + code) if x[1] == t.license], t.text

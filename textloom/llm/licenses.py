@@ -6,13 +6,16 @@ words in the index; a posting at template position p met at document position q
 beginning at q - p. Votes for nearly the same beginning are joined, and where enough of a template's weight
 has voted, the template's mandatory key phrases must follow each other word for word in that stretch.
 
-Defined results: words are runs of letters and digits, case ignored; null and empty texts match nothing; of
-matches that overlap the one that covers most words stays; a license found twice in a text is reported twice; repeated
-rows are reported again; other columns are ignored; no documents give no rows.
+A license is known by its notice, by short forms of it, and by its SPDX identifier behind ``SPDX-License-Identifier:``.
+
+Defined results: words are runs of letters and digits, case ignored; null and empty texts match nothing; texts of any length
+are scanned whole; of matches that overlap the one that covers most words stays; a license found twice in a text is
+reported twice; repeated rows are reported again; other columns are ignored; no documents give no rows.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -74,6 +77,14 @@ def _templates() -> list[Template]:
         t.append(Template(f"CC-{code}-4.0", f"Licensed under CC {code} 4.0", (f"cc {words} 4 0",)))
         full = "creative commons " + long.lower().replace("-", " ").replace("sharealike", "sharealike") + " 4 0 international"
         t.append(Template(f"CC-{code}-4.0", f"This work is licensed under a Creative Commons {long} 4.0 International License", (full,)))
+    for ident, name in (("ISC", "ISC License"), ("Zlib", "zlib License"), ("Unlicense", "Unlicense")):
+        key = name.lower()
+        for lead in ("Licensed under the", "Released under the", "This project is licensed under the terms of the"):
+            t.append(Template(ident, f"{lead} {name}", (f"the {key}",)))
+    # a file may say no more than the identifier
+    for ident in dict.fromkeys(x.license for x in t):
+        tag = " ".join(re.findall("[a-z0-9]+", ident.lower()))
+        t.append(Template(ident, f"SPDX-License-Identifier: {ident}", (f"spdx license identifier {tag}",)))
     return t
 
 
