@@ -60,6 +60,7 @@ BLOCK = 40_000
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _LAST = np.iinfo(np.int64).max
 _ALONE = 1 << 40  # the score of a document outside of crowds
+_FORTY = np.uint64((1 << 40) - 1)
 
 
 def _least(size: np.ndarray | int, threshold: float):
@@ -383,12 +384,14 @@ def _post_prefix(n: int, threshold: float, parts: int, frequent, listed: int):
                 prefix = size - _least(size, threshold) + 1
                 keep = np.arange(len(g)) - np.repeat(head, size) < np.repeat(prefix, size)
                 own = np.repeat(np.arange(len(head)), size)[keep]  # documents by their place in this slice
+                # how far into the document's order an n-gram stands, in 255ths, rounded down
+                far = ((np.arange(len(g)) - np.repeat(head, size)) * 255 // np.repeat(size, size))[keep].astype(np.uint64)
                 g, often, who = g[keep], often[keep], doc[head]
                 order = np.lexsort((g, often, often == 0, own))
                 # where a prefix has fewer, the last of them again
                 first = g[order][(np.cumsum(prefix) - prefix)[:, None] + np.minimum(np.arange(FIRST), prefix[:, None] - 1)]
-                for p, k, c, (x,) in _pieces(_fragment(g, parts), own, g):
-                    for col, v in zip(rows, (p, keys[who[k] + i].tobytes(), size[k].astype(np.int32).tobytes(), crowd[who[k] + i].tobytes(), c.astype(np.int32).tobytes(), first[k].tobytes(), _narrow(x, 5))):
+                for p, k, c, (x,) in _pieces(_fragment(g, parts), own, g & _FORTY | far << np.uint64(40)):
+                    for col, v in zip(rows, (p, keys[who[k] + i].tobytes(), size[k].astype(np.int32).tobytes(), crowd[who[k] + i].tobytes(), c.astype(np.int32).tobytes(), first[k].tobytes(), _narrow(x, 6))):
                         col.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=names)
 
@@ -414,7 +417,8 @@ def _candidates(threshold: float):
     def run(t: pa.Table) -> pa.Table:
         trim()
         k, s, c = _join(t["k"], np.int64), _join(t["size"], np.int32).astype(np.int64), _join(t["count"], np.int32)
-        first, g = _join(t["first"], np.uint64).reshape(-1, FIRST), _wide(b"".join(t["grams"].to_pylist()), 5)
+        first, g = _join(t["first"], np.uint64).reshape(-1, FIRST), _wide(b"".join(t["grams"].to_pylist()), 6)
+        far, g = (g >> np.uint64(40)).astype(np.int64), g & _FORTY
         crowd = _join(t["crowd"], np.int64).reshape(-1, 3)
         number = np.lexsort((crowd[:, 1], crowd[:, 0]))  # documents by crowd, then score
         place = np.empty(len(k), np.int64)
@@ -422,9 +426,10 @@ def _candidates(threshold: float):
         doc = np.repeat(np.arange(len(k)), c)
         order = np.lexsort((place[doc], g))
         g, doc = g[order], doc[order]
+        after = s[doc] - far[order] * s[doc] // 255  # n-grams from this one on, or some more
         size = np.diff(np.append(np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))), len(g)))
         many = np.repeat(size > 1, size)
-        g, doc, size = g[many], doc[many], size[size > 1]
+        g, doc, after, size = g[many], doc[many], after[many], size[size > 1]
         end = np.repeat(np.cumsum(size), size)
         which, score, most = (crowd[doc, i] for i in range(3))
         run_ = np.cumsum(np.concatenate(([True], (which[1:] != which[:-1]) | (g[1:] != g[:-1])))) if len(g) else np.zeros(0, np.int64)
@@ -436,11 +441,13 @@ def _candidates(threshold: float):
         names, number = np.unique(k, return_inverse=True)
         found, met = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for i, j in _pairs(start, end):
-            at, i, j = g[i], doc[i], doc[j]
+            at, rest, i, j = g[i], np.minimum(after[i], after[j]), doc[i], doc[j]
             ok = (np.minimum(s[i], s[j]) >= _least(np.maximum(s[i], s[j]), threshold)) & (k[i] != k[j])
-            at, i, j = at[ok], i[ok], j[ok]
+            at, rest, i, j = at[ok], rest[ok], i[ok], j[ok]
             common = (first[i][:, :, None] == first[j][:, None, :]).any(2)
-            ok = ~common.any(1) | (first[i, common.argmax(1)] & np.uint64((1 << 40) - 1) == at)
+            # a link's first n-gram in common leaves enough n-grams in both orders for all that it needs
+            enough = rest >= _least(s[i] + s[j], threshold / (1 + threshold))
+            ok = np.where(common.any(1), first[i, common.argmax(1)] & _FORTY == at, enough)
             i, j = number[i[ok]], number[j[ok]]
             pair, first_ = np.unique(np.minimum(i, j) * len(names) + np.maximum(i, j), return_index=True)
             found.append(pair)
