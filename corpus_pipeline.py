@@ -1,4 +1,10 @@
-"""A training-corpus pipeline over ``documents``: five stages, each working on all that its predecessor kept."""
+"""A training-corpus pipeline over ``documents``: five stages, each working on all that its predecessor kept.
+
+Defined results: null, empty and blank texts are rejected by the first stage; of rows that repeat identifier and text one
+stays; of copies and near copies the smallest identifier stays, null identifiers coming last; a null source is a source of
+its own; very long texts are scored, compared and packed whole; an empty table gives none; the stages before the
+last hand on all columns as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +13,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.lineage import remove, shared_folder
 from textloom.llm import exact_dedup, mixing, near_dedup, packing, quality
-from textloom.llm.common import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to ``documents``; between stages the table is written to the shared folder and read again."""
+    """Apply all stages to ``documents``; between stages the table is written to the shared folder and read again, and what is
+    no longer read is removed."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
@@ -58,4 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}")
             docs = spark.read.parquet(f"{folder}/{i}")
+            if i:
+                remove(spark, f"{folder}/{i - 1}")
     return docs

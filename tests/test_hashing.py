@@ -49,7 +49,14 @@ def test_combine(spark):
 
 
 def test_split_tokens():
-    s = lambda x: [(t.decode(), o, n) for t, o, n in tokens.split_tokens(x.encode())]
+    def s(x):
+        b = x.encode()
+        got = tokens._hash_tokens(pa.array(["before\ta b", x, None, "after"])).to_pylist()[1]
+        _, at, size = tokens.split_tokens(np.frombuffer(b + b"\0" * 16, np.uint8), np.array([0]), np.array([len(b)]))
+        out = [(b[i : i + n].decode(), t["offset"], t["length"]) for i, n, t in zip(at.tolist(), size.tolist(), got, strict=True)]
+        assert [t["hash"] for t in got] == hashing.murmur64a_array(pa.array([t for t, _, _ in out], pa.string())).view(np.int64).tolist()
+        return out
+
     assert s("a b c") == [("a b c", 0, 0)]
     assert s("-rgb\ta b c") == [("-rgb", 0, 4), ("a", 5, 1), ("b", 7, 1), ("c", 0, 0)]
     assert s("\tfoo bar") == [("\tfoo", 0, 4), ("bar", 0, 0)]
@@ -73,5 +80,38 @@ def test_names(spark):
 
 
 def test_murmur3(spark):
-    assert [hashing.murmur3_bytes(x) for x in (b"", b"test", b"Hello, world!")] == [0, 0xBA6BD213, 0xC0363E43]
+    assert hashing.murmur3_array(pa.array(["", "test", None, "Hello, world!"])).tolist() == [0, 0xBA6BD213, 0, 0xC0363E43]
+    a, b = hashing.murmur3_x64_128_array(pa.array(["", "The quick brown fox jumps over the lazy dog", "hello"]))
+    assert [f"{int(x):016x}{int(y):016x}" for x, y in zip(a, b)] == ["0" * 32, "e34bbc7bbc071b6c7a433ca9c49a9347", "cbd8a7b341bd9b025b1e906a48ae1d19"]
+
     assert [r.h for r in spark.createDataFrame([("test",), (None,)], "s string").select(hashing.murmur3(F.col("s")).alias("h")).collect()] == [0xBA6BD213, None]
+
+
+def slow_x86_128(data, seed=0):
+    """The published algorithm, a step at a time."""
+    m = 0xFFFFFFFF
+    rot = lambda x, r: (x << r | x >> 32 - r) & m
+    c, turn, after, add = (0x239B961B, 0xAB0E9789, 0x38B34AE5, 0xA1E38B93), (15, 16, 17, 18), (19, 17, 15, 13), (0x561CCD1B, 0x0BCAA747, 0x96CD1C35, 0x32AC3B17)
+    h = [seed] * 4
+    word = lambda i, k: int.from_bytes(data[16 * i + 4 * k : min(16 * i + 4 * k + 4, 16 * i + 16)], "little")
+    scramble = lambda x, k: rot(x * c[k] & m, turn[k]) * c[(k + 1) % 4] & m
+    for i in range(len(data) // 16):
+        for k in range(4):
+            h[k] ^= scramble(word(i, k), k)
+            h[k] = ((rot(h[k], after[k]) + h[(k + 1) % 4]) * 5 + add[k]) & m
+    for k in range(4):
+        h[k] ^= scramble(word(len(data) // 16, k), k)
+        h[k] ^= len(data)
+    h[0] = sum(h) & m
+    h = [h[0], *[(x + h[0]) & m for x in h[1:]]]
+    for k in range(4):
+        x = (h[k] ^ h[k] >> 16) * 0x85EBCA6B & m
+        x = (x ^ x >> 13) * 0xC2B2AE35 & m
+        h[k] = x ^ x >> 16
+    h[0] = sum(h) & m
+    return [h[0], *[(x + h[0]) & m for x in h[1:]]]
+
+
+def test_murmur3_x86_128():
+    texts = ["", *["abcdefghij klmnopq rstuvwxyz 0123456789"[:n] for n in range(1, 40)]]
+    assert hashing.murmur3_x86_128_array(pa.array(texts)).tolist() == [slow_x86_128(t.encode()) for t in texts]

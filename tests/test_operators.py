@@ -135,9 +135,8 @@ def test_attempts_batch_and_stream(spark, tmp_path):
     for i in range(3):
         d.where(f"o >= {50 * i} and o < {50 * i + 50}").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     s = spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    q = retry.fold_stream(s, "job", "o", "ok").writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
-    q.processAllAvailable()
-    q.stop()
+    q = retry.fold_stream(s, "job", "o", "ok").writeStream.format("memory").queryName("folded").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
     assert {(r.job, r.attempt, r.done, r.left) for r in spark.table("folded").collect()} == want
 
 
@@ -160,6 +159,20 @@ def test_logs(spark):
     assert [r.n for r in attempts.unseen(items, spark.createDataFrame([(" a ",)], "n string"), "n").collect()] == ["b"]
     d = spark.createDataFrame([(0, "x"), (1, "m"), (2, "y")], "o int, k string")
     assert sorted(r.k for r in attempts.after_marker(d, "k", "o", "m").collect()) == ["m", "y"]
+    tied = spark.createDataFrame([(0, 2, "x"), (0, 3, "m"), (0, 4, "y"), (0, 1, "z")], "o int, n int, k string")
+    assert sorted(r.k for r in attempts.after_marker(tied, "k", ["o", "n"], "m").collect()) == ["m", "y"]
+
+
+def test_suggestions_with_raws_and_translations(spark):
+    near = spark.createDataFrame([(9, i, i, 0.1 * i) for i in (1, 2, 3)], "query long, neighbour long, rank int, distance double")
+    amb = spark.createDataFrame([(1, 5.0), (3, 1.0)], "id long, score double")
+    strings = spark.createDataFrame([(1, "one"), (2, "two"), (3, "three"), (4, "four")], "id long, text string")
+    raw = spark.createDataFrame([(2, "Two!"), (2, "TWO"), (4, "Four")], "id long, raw string")
+    index = cooc.translations(spark.createDataFrame([(2, 4, 3), (2, 1, 1), (3, 2, 7)], "left long, right long, count long"))
+    got = [r for r in vectors.suggest(near, amb, strings, 2, raw, index).orderBy("place").collect()]
+    assert [(r.neighbour, r.text, r.raws) for r in got] == [(2, "two", ["TWO", "Two!"]), (3, "three", None)]
+    assert [(x.text, x.raws, x.share) for x in got[0].translations] == [("four", ["Four"], 0.75), ("one", None, 0.25)]
+    assert [(x.id, x.share) for x in got[1].translations] == [(2, 1.0)]
 
 
 def test_sentence_vectors(spark):

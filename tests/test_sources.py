@@ -140,12 +140,39 @@ def test_selectors():
     assert tags(["parent", ["tag", "li"]]) == ["L1"]
 
 
+def store_page():
+    """A page with the parts that records are read from, each beside a part that looks like it."""
+    shot = lambda i: f'<a target="_blank" href="/s{i}.jpg?h=800"><img src="/s{i}.jpg?h=355"></a>'
+    row = lambda k, v: f"<p><strong>{k}</strong> {v}</p>"
+    version = lambda n, *rows: f'<li><a href="/download/{n}">get</a><div class="ver-info"><div class="ver-info-m">{"".join(rows)}<p><a href="/x"><strong>Signature:</strong></a> no</p></div></div></li>'
+    return (
+        '<html><head><meta property="og:url" content="https://store.example/keep/com.keep.app"><meta property="og:title" content="no"></head><body>'
+        '<div class="title-like"><h1>Not this</h1></div><div class="box"><dl class="ny-dl"><dt><div class="icon"><img src="/icon.png"></div></dt>'
+        '<dd><div class="title-like"><h1> Keep </h1></div><div class="ny-down"><a class="da" href="/keep/download">Get</a></div></dd></dl></div>'
+        '<div itemtype="http://schema.org/Organization"><a href="/developer/Keep%20Studio"><span>Keep Studio</span></a></div>'
+        '<div id="describe"><div><div>All of it.<br>More.</div></div></div>'
+        '<div class="additional"><p>Category:</p></div>'
+        '<ul class="list"><li><div class="additional"><ul><li><p>x</p></li></ul></div></li></ul>'
+        '<div class="additional"><ul><li><div><a title="Download more apps" href="/tools"><span>Free</span><span>Tools</span></a></div></li></ul></div>'
+        '<a ga="get_it_on_play" href="https://play.example/keep"></a><a target="_blank" href="/no"><img src="/no?h=350"></a>'
+        f'<div class="describe"><div class="describe-img">{shot(0)}{shot(1)}</div></div>'
+        f'<ul class="ver-wrap">{version(24, row("Signature:", "ea1d"), row("File SHA1:", "5083"), row("Update on:", "December 11, 2017"), row("Requires Android:", "Android 4.0.3+"), row("File Size:", "11.3 MB"), row("Odd:", "x"))}{version(18)}</ul>'
+        "</body></html>"
+    )
+
+
 def test_records_of_pages(spark):
-    page = '<link rel=canonical href="/u"><div class="title-like"><h1>T</h1></div><ul><li class=v><a href="/d">g</a><p>File Size: 3 MB</p><p>Odd: x</p></li></ul><p>• a: 1 • a: 2 • b: c</p>'
-    d = spark.createDataFrame([(page,), (None,)], "h string")
-    r = d.select(html.record(F.col("h"), html.STORE_PAGE).alias("r"), html.versions(F.col("h"), ["class", "v"], ["tag", "p"]).alias("v"), html.bullet_map(F.lit("• a: 1\n• a: 2\n• b: c")).alias("m")).collect()
-    assert (r[0].r.title, r[0].r.url, r[0].r.category_tags) == ("T", "/u", []) and r[1].r is None
-    assert (r[0].v[0].url, r[0].v[0].file_size, r[0].v[0].extra) == ("/d", "3 MB", {"Odd": "x"})
+    d = spark.createDataFrame([(store_page(),), (None,)], "h string")
+    r = d.select(html.record(F.col("h"), html.STORE_PAGE).alias("r"), html.versions(F.col("h"), *html.STORE_VERSIONS).alias("v"), html.bullet_map(F.lit("• a: 1\n• a: 2\n• b: c")).alias("m")).collect()
+    assert r[0].r.asDict() == {
+        "thumbnail_url": "/icon.png", "url": "https://store.example/keep/com.keep.app", "artifact_name": "com.keep.app", "title": "Keep", "author_name": "Keep Studio", "author_url": "/developer/Keep%20Studio",
+        "download_url": "/keep/download", "description": "All of it. More.", "category_url": "/tools", "category_tags": ["Free", "Tools"], "appstore_links": ["https://play.example/keep"],
+        "snapshot_image_urls_800": ["/s0.jpg?h=800", "/s1.jpg?h=800"], "screenshot_image_urls_350": ["/s0.jpg?h=355", "/s1.jpg?h=355"],
+    }
+    assert r[1].r is None
+    v = r[0].v[0]
+    assert (v.url, v.signature, v.file_sha1, v.android_version, v.file_size, str(v.updated_on), v.extra) == ("/download/24", "ea1d", "5083", "Android 4.0.3+", "11.3 MB", "2017-12-11 00:00:00", {"Odd": "x"})
+    assert r[0].v[1].url == "/download/18" and r[0].v[1].updated_on is None
     assert r[0].m == {"a": "2", "b": "c"}
     p = spark.range(1).select(html.proxies(F.lit("x 1.2.3.4:80 y 5.6.7.8:3128")).alias("p")).first()["p"]
     assert [(x.host, x.port) for x in p] == [("1.2.3.4", 80), ("5.6.7.8", 3128)]

@@ -13,10 +13,15 @@ _R = np.uint64(47)
 
 
 def murmur64a_bytes(values: np.ndarray, offsets: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """MurmurHash64A of many byte strings at once: block by block over all strings that are long enough."""
-    size = np.diff(offsets).astype(np.int64)
+    """MurmurHash64A of byte strings that follow each other."""
+    return murmur64a_spans(values, offsets[:-1], np.diff(offsets), seed)
+
+
+def murmur64a_spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """MurmurHash64A of many byte ranges at once: block by block over all ranges that are long enough."""
+    size = sizes.astype(np.int64)
     order = np.argsort(-size, kind="stable")
-    n, start = size[order], offsets[:-1][order].astype(np.int64)
+    n, start = size[order], starts[order].astype(np.int64)
     h = np.uint64(seed) ^ (n.astype(np.uint64) * _M)
     padded = np.concatenate([values, np.zeros(8, np.uint8)])
     eight = np.arange(8)
@@ -42,12 +47,7 @@ def murmur64a_bytes(values: np.ndarray, offsets: np.ndarray, seed: int = SEED) -
 
 def murmur64a_array(texts: pa.Array) -> np.ndarray:
     """Hashes of the texts as unsigned numbers; null hashes as empty."""
-    t = texts.cast(pa.large_binary())
-    if t.null_count:
-        t = t.fill_null(b"")
-    _, off, val = t.buffers()
-    offsets = np.frombuffer(off, np.int64)[t.offset : t.offset + len(t) + 1] if len(t) else np.zeros(1, np.int64)
-    return murmur64a_bytes(np.frombuffer(val, np.uint8) if val is not None else np.zeros(0, np.uint8), offsets)
+    return murmur64a_spans(*_binary(texts))
 
 
 def _murmur(texts: pa.Array) -> pa.Array:
@@ -99,31 +99,135 @@ def combine(hashes: Column) -> Column:
     return F.aggregate(hashes, F.lit(0).cast("long"), step).cast("int")
 
 
-def murmur3_bytes(data: bytes, seed: int = 0) -> int:
-    """MurmurHash3 x86_32 of a byte string, unsigned."""
-    mask = 0xFFFFFFFF
-    h, n = seed & mask, len(data) // 4 * 4
+def _rotate(x: np.ndarray, by: int) -> np.ndarray:
+    bits = x.dtype.itemsize * 8
+    return x << x.dtype.type(by) | x >> x.dtype.type(bits - by)
+
+
+def _binary(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, zeros after them, with starts and sizes; null counts as empty."""
+    t = texts.cast(pa.large_binary())
+    if t.null_count:
+        t = t.fill_null(b"")
+    _, off, val = t.buffers()
+    offsets = np.frombuffer(off, np.int64)[t.offset : t.offset + len(t) + 1] if len(t) else np.zeros(1, np.int64)
+    values = np.frombuffer(val, np.uint8) if val is not None else np.zeros(0, np.uint8)
+    return np.concatenate([values, np.zeros(16, np.uint8)]), offsets[:-1], np.diff(offsets)
 
-    def scramble(k: int) -> int:
-        k = k * 0xCC9E2D51 & mask
-        return (k << 15 | k >> 17) * 0x1B873593 & mask
 
-    for i in range(0, n, 4):
-        h ^= scramble(int.from_bytes(data[i : i + 4], "little"))
-        h = (h << 13 | h >> 19) & mask
-        h = (h * 5 + 0xE6546B64) & mask
-    if len(data) > n:
-        h ^= scramble(int.from_bytes(data[n:], "little"))
-    h ^= len(data)
-    h = (h ^ h >> 16) * 0x85EBCA6B & mask
-    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
-    return h ^ h >> 16
+def _steps(sizes: np.ndarray, block: int):
+    """(rows, block number) for each block that some rows have whole; the longest rows first."""
+    order = np.argsort(-sizes, kind="stable")
+    many = (sizes // block)[order]
+    left = len(order)
+    for j in range(int(many[0]) if len(many) else 0):
+        while left and many[left - 1] <= j:
+            left -= 1
+        yield order[:left], j
+
+
+def _words(values: np.ndarray, at: np.ndarray, keep: np.ndarray | None, block: int, kind: str) -> np.ndarray:
+    """The words of one block of each row, without the bytes past ``keep``."""
+    w = values[at[:, None] + np.arange(block)]
+    if keep is not None:
+        w = np.where(np.arange(block) < keep[:, None], w, 0).astype(np.uint8)
+    return np.ascontiguousarray(w).view(kind)
+
+
+def murmur3_array(texts: pa.Array, seed: int = 0) -> np.ndarray:
+    """MurmurHash3 x86_32 of all texts, unsigned."""
+    values, start, size = _binary(texts)
+    u = np.uint32
+    h = np.full(len(start), seed, u)
+    scramble = lambda k: _rotate(k * u(0xCC9E2D51), 15) * u(0x1B873593)
+    for rows, j in _steps(size, 4):
+        h[rows] = _rotate(h[rows] ^ scramble(_words(values, start[rows] + 4 * j, None, 4, "<u4")[:, 0]), 13) * u(5) + u(0xE6546B64)
+    if len(h):
+        h ^= np.where(size % 4 > 0, scramble(_words(values, start + size // 4 * 4, size % 4, 4, "<u4")[:, 0]), u(0))
+    h ^= size.astype(u)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    return h ^ h >> u(16)
+
+
+def murmur3_x64_128_array(texts: pa.Array, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of MurmurHash3 x64_128 of all texts, unsigned."""
+    values, start, size = _binary(texts)
+    u = np.uint64
+    c1, c2 = u(0x87C37B91114253D5), u(0x4CF5AD432745937F)
+    a, b = np.full(len(start), seed, u), np.full(len(start), seed, u)
+    first = lambda k: _rotate(k * c1, 31) * c2
+    second = lambda k: _rotate(k * c2, 33) * c1
+    for rows, j in _steps(size, 16):
+        k = _words(values, start[rows] + 16 * j, None, 16, "<u8")
+        x = (_rotate(a[rows] ^ first(k[:, 0]), 27) + b[rows]) * u(5) + u(0x52DCE729)
+        b[rows] = (_rotate(b[rows] ^ second(k[:, 1]), 31) + x) * u(5) + u(0x38495AB5)
+        a[rows] = x
+    if len(a):
+        k = _words(values, start + size // 16 * 16, size % 16, 16, "<u8")
+        a, b = a ^ first(k[:, 0]), b ^ second(k[:, 1])
+    a, b = a ^ size.astype(u), b ^ size.astype(u)
+    a = a + b
+    b = b + a
+
+    def mix(x: np.ndarray) -> np.ndarray:
+        x = (x ^ x >> u(33)) * u(0xFF51AFD7ED558CCD)
+        x = (x ^ x >> u(33)) * u(0xC4CEB9FE1A85EC53)
+        return x ^ x >> u(33)
+
+    a, b = mix(a), mix(b)
+    a = a + b
+    return a, b + a
+
+
+def murmur3_x86_128_array(texts: pa.Array, seed: int = 0) -> np.ndarray:
+    """The four words of MurmurHash3 x86_128 of all texts, unsigned."""
+    values, start, size = _binary(texts)
+    u = np.uint32
+    c = [u(x) for x in (0x239B961B, 0xAB0E9789, 0x38B34AE5, 0xA1E38B93)]
+    turn, after, add = (15, 16, 17, 18), (19, 17, 15, 13), [u(x) for x in (0x561CCD1B, 0x0BCAA747, 0x96CD1C35, 0x32AC3B17)]
+    h = np.full((len(start), 4), seed, u)
+    scramble = lambda k, i: _rotate(k * c[i], turn[i]) * c[(i + 1) % 4]
+    for rows, j in _steps(size, 16):
+        k, x = _words(values, start[rows] + 16 * j, None, 16, "<u4"), h[rows]
+        for i in range(4):
+            x[:, i] = (_rotate(x[:, i] ^ scramble(k[:, i], i), after[i]) + x[:, (i + 1) % 4]) * u(5) + add[i]
+        h[rows] = x
+    if len(h):
+        k = _words(values, start + size // 16 * 16, size % 16, 16, "<u4")
+        for i in range(4):
+            h[:, i] ^= scramble(k[:, i], i)
+    h ^= size.astype(u)[:, None]
+
+    def spread(h: np.ndarray) -> None:
+        h[:, 0] += h[:, 1] + h[:, 2] + h[:, 3]
+        h[:, 1:] += h[:, :1]
+
+    spread(h)
+    h = (h ^ h >> u(16)) * u(0x85EBCA6B)
+    h = (h ^ h >> u(13)) * u(0xC2B2AE35)
+    h = h ^ h >> u(16)
+    spread(h)
+    return h
 
 
 def murmur3(text: Column, seed: int = 0) -> Column:
     """The 32-bit key of a text in a constant database, as a long; null for null."""
 
     def run(col: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else murmur3_bytes(x, seed) for x in col.cast(pa.binary()).to_pylist()], pa.int64())
+        return pa.array(murmur3_array(col, seed).astype(np.int64), mask=col.is_null().to_numpy(zero_copy_only=False))
 
     return F.arrow_udf(run, "long")(text)
+
+
+def murmur3_128(text: Column, seed: int = 0, words: int = 64) -> Column:
+    """The 128-bit hash of a text's bytes, made by steps of 64 or of 32 bits, as hexadecimal words in order; null for null."""
+    if words not in (32, 64):
+        raise ValueError("words must be 32 or 64")
+
+    def run(col: pa.Array) -> pa.Array:
+        h = np.stack(murmur3_x64_128_array(col, seed), 1) if words == 64 else murmur3_x86_128_array(col, seed)
+        out = ["".join(f"{int(x):0{words // 4}x}" for x in r) for r in h]
+        return pa.array(out, pa.string(), mask=col.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(run, "string")(text)

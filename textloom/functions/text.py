@@ -15,10 +15,14 @@ MAX_LINE = 100_000
 def clean_tokens(text: Column) -> Column:
     """Lower ASCII letters, make every other character than ``0-9 a-z ' , & # ;`` a token of its own, and put single spaces
     between tokens. A single space at either end stays."""
-    low = F.translate(text, UPPER, LOWER)
-    x = F.regexp_replace(F.regexp_replace(low, f"({SINGLE})", " $1 "), f"{BLANK}+", " ")
-    x = F.when(low.rlike(f"^{SINGLE}"), F.substr(x, F.lit(2))).otherwise(x)
-    return F.when(low.rlike(SINGLE + r"\z"), F.substr(x, F.lit(1), F.length(x) - 1)).otherwise(x)
+    # the text occurs once, so that it is cleaned once: a space goes in on each side of a single character that has a neighbour there
+    between = rf"(?<=[\s\S])(?={SINGLE})|(?<={SINGLE})(?=[\s\S])"
+    return F.regexp_replace(F.regexp_replace(F.translate(text, UPPER, LOWER), between, " "), f"{BLANK}+", " ")
+
+
+def has_tokens(text: Column) -> Column:
+    """Whether anything but blanks is left of a text when it is cleaned, told without cleaning it."""
+    return text.rlike(BLANK.replace("[", "[^"))
 
 
 def words(text: Column) -> Column:
@@ -37,8 +41,8 @@ def clean_last(row: Column, columns: int) -> Column:
 
 
 def tab_split_point(row: Column, n: int) -> Column:
-    """Position of the n-th tab (the first is 1), or the length of a row that has fewer."""
-    return F.length(F.substring_index(row, "\t", n))
+    """Bytes before the n-th tab (the first is 1), or the bytes of a row that has fewer."""
+    return F.octet_length(F.substring_index(row, "\t", n))
 
 
 def sanitize(text: Column) -> Column:
@@ -107,13 +111,37 @@ def xor_fold(expression: Column) -> Column:
     return F.aggregate(F.split(expression, r"\^"), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x.cast("long")))
 
 
-def flag_names(flags: Column, names: dict[int, str]) -> Column:
-    """The names of the bits that are set, in order of their masks."""
-    every = F.array(*[F.when(flags.bitwiseAND(F.lit(m)) != 0, F.lit(n)) for m, n in sorted(names.items())])
+def xor_value(expression: Column, constants: Column) -> Column:
+    """The value of ``a^b^3``, names being looked up in a map of constants."""
+    return F.aggregate(F.split(expression, r"\^"), F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.coalesce(constants[F.trim(x)], F.trim(x).try_cast("long"))))
+
+
+def xor_constants(script: Column) -> Column:
+    """The constants of a script ``a=1;b=a^2;``, each of which may use those before it."""
+
+    def add(known: Column, line: Column) -> Column:
+        name = F.trim(F.substring_index(line, "=", 1))
+        value = xor_value(F.substr(line, F.locate("=", line) + 1), known)
+        return F.map_concat(F.map_filter(known, lambda k, _: k != name), F.create_map(name, value))
+
+    lines = F.filter(F.split(script, ";"), lambda x: F.contains(x, F.lit("=")))
+    return F.aggregate(lines, F.expr("cast(map() as map<string,bigint>)"), add)
+
+
+def xor_digits(expressions: Column, constants: Column) -> Column:
+    """The number whose decimal digits are the values of ``+(a^b)+(c^d)``."""
+    parts = F.filter(F.split(F.regexp_replace(expressions, r"[()\s]", ""), r"\+"), lambda x: x != "")
+    return F.aggregate(parts, F.lit(0).cast("long"), lambda n, x: n * 10 + xor_value(x, constants))
+
+
+def flag_names(flags: Column, names: list[tuple[int, str]]) -> Column:
+    """The names of the bits that are set, in order of their masks; a bit may have several."""
+    every = F.array(*[F.when(flags.bitwiseAND(F.lit(m)) != 0, F.lit(n)) for m, n in names])
     return F.array_compact(every)
 
 
-ACCESS = {0x1: "public", 0x2: "private", 0x4: "protected", 0x8: "static", 0x10: "final", 0x20: "synchronized", 0x40: "volatile", 0x80: "transient", 0x100: "native", 0x200: "interface", 0x400: "abstract", 0x800: "strictfp", 0x1000: "synthetic", 0x2000: "annotation", 0x4000: "enum", 0x10000: "constructor", 0x20000: "declared-synchronized"}
+#: Access flags; what the bits 0x40 and 0x80 mean depends on whether they are a field's or a method's.
+ACCESS = [(0x1, "public"), (0x2, "private"), (0x4, "protected"), (0x8, "static"), (0x10, "final"), (0x20, "synchronized"), (0x40, "volatile"), (0x40, "bridge"), (0x80, "transient"), (0x80, "varargs"), (0x100, "native"), (0x200, "interface"), (0x400, "abstract"), (0x800, "strictfp"), (0x1000, "synthetic"), (0x2000, "annotation"), (0x4000, "enum"), (0x10000, "constructor"), (0x20000, "declared-synchronized")]
 VISIBILITY = {0: "build", 1: "runtime", 2: "system"}
 VALUE_TYPES = {0x00: "byte", 0x02: "short", 0x03: "char", 0x04: "int", 0x06: "long", 0x10: "float", 0x11: "double", 0x17: "string", 0x18: "type", 0x19: "field", 0x1A: "method", 0x1B: "enum", 0x1C: "array", 0x1D: "annotation", 0x1E: "null", 0x1F: "boolean"}
 
@@ -184,5 +212,5 @@ def xml_attributes(xml: Column, name: str) -> Column:
 def merge_maps(*maps: Column) -> Column:
     """One map of several; of equal keys the last wins, whatever the session's policy."""
     entries = F.concat(*[F.coalesce(F.map_entries(m), F.expr("cast(array() as array<struct<key:string,value:string>>)")) for m in maps])
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, 1_000_000), lambda f: f["key"] == e["key"]))
+    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.greatest(F.size(entries) - i, F.lit(0))), lambda f: f["key"] == e["key"]))
     return F.map_from_entries(last)

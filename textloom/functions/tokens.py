@@ -4,42 +4,55 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.hashing import murmur64a_array
+from textloom.functions.hashing import _binary, murmur64a_array, murmur64a_spans
 from textloom.functions.text import clean_tokens
 
-_BLANK = b" \t\n\x0b\r\x00"
+_BLANK = np.zeros(256, bool)
+_BLANK[list(b" \t\n\x0b\r\x00")] = True
 TOKENS = "array<struct<hash:long,offset:int,length:int>>"
 
 
-def split_tokens(row: bytes) -> list[tuple[bytes, int, int]]:
-    """(token, offset, length) of a row. The scan for ends begins at the first tab, so the key belongs to the first
-    token; a blank right after an end belongs to the next token; the last token has offset and length 0."""
-    out, start = [], 0
-    at = row.find(b"\t")
-    at = len(row) if at < 0 else at
-    while at < len(row):
-        if row[at] in _BLANK and at > start:
-            out.append((row[start:at], start, at - start))
-            start = at + 1
-            at += 1
-            if at < len(row) and row[at] in _BLANK:  # glued to the next token
-                at += 1
-            continue
-        at += 1
-    if start < len(row):
-        out.append((row[start:], 0, 0))
-    return out
-
-
-def _hash_tokens(rows: pa.Array) -> pa.Array:
-    each = [None if r is None else split_tokens(r) for r in rows.cast(pa.binary()).to_pylist()]
-    h = murmur64a_array(pa.array([t for r in each if r for t, _, _ in r], pa.large_binary())).view(np.int64).tolist()
-    it = iter(h)
-    kind = pa.list_(pa.struct([("hash", pa.int64()), ("offset", pa.int32()), ("length", pa.int32())]))
-    return pa.array([None if r is None else [{"hash": next(it), "offset": o, "length": n} for _, o, n in r] for r in each], kind)
+def split_tokens(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first byte, bytes) of the tokens of rows that follow each other. The scan for ends begins at the first tab, so the
+    key belongs to the first token; a blank right after an end belongs to the next token, so in a run of blanks
+    every other one is an end, from the first on, or from the second where the run begins the row."""
+    base, n = (int(start[0]), int(size.sum())) if len(start) else (0, 0)
+    v, first = values[base : base + n], start - base
+    row = np.repeat(np.arange(len(start)), size)
+    tabs = np.flatnonzero(v == 9)
+    tab = np.full(len(start), n, np.int64)
+    np.minimum.at(tab, row[tabs], tabs)
+    at = np.arange(n)
+    blank = _BLANK[v] & (at >= tab[row])
+    head = blank.copy()
+    head[1:] &= ~blank[:-1] | (row[1:] != row[:-1])
+    run = np.maximum.accumulate(np.where(head, at, 0)) if n else at
+    ends = np.flatnonzero(blank & ((at - run) % 2 == (run == first[row])))
+    owner = row[ends]
+    starts, rows = np.concatenate([first, ends + 1]), np.concatenate([np.arange(len(start)), owner])
+    order = np.lexsort((starts, rows))
+    starts, rows = starts[order], rows[order]
+    stop = np.empty(len(starts), np.int64)
+    stop[:-1] = starts[1:] - 1
+    last = np.ones(len(starts), bool)
+    last[:-1] = rows[1:] != rows[:-1]
+    stop[last] = (first + size)[rows[last]]
+    keep = stop > starts
+    return rows[keep], starts[keep] + base, (stop - starts)[keep]
+
+
+def _hash_tokens(texts: pa.Array) -> pa.Array:
+    values, start, size = _binary(texts)
+    row, at, n = split_tokens(values, start, size)
+    h = murmur64a_spans(values, at, n).view(np.int64)
+    last = at + n == (start + size)[row]  # the last token of a row has offset and length 0
+    item = pa.StructArray.from_arrays([pa.array(h), pa.array(np.where(last, 0, at - start[row]).astype(np.int32)), pa.array(np.where(last, 0, n).astype(np.int32))], ["hash", "offset", "length"])
+    offsets = np.searchsorted(row, np.arange(len(start) + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), item, mask=texts.is_null())
 
 
 def hash_tokens(row: Column) -> Column:
@@ -48,13 +61,10 @@ def hash_tokens(row: Column) -> Column:
 
 
 def _by_hash(lists: pa.Array) -> pa.Array:
-    out = []
-    for x in lists.to_pylist():
-        if x:
-            h = murmur64a_array(pa.array(x, pa.string()))
-            x = [x[i] for i in np.argsort(h, kind="stable")]
-        out.append(x)
-    return pa.array(out, pa.list_(pa.string()))
+    items, n = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    order = np.lexsort((murmur64a_array(items), np.repeat(np.arange(len(n)), n)))
+    offsets = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), items.take(pa.array(order)), mask=lists.is_null())
 
 
 def by_hash(items: Column) -> Column:

@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which all executors share; only in local mode, where the setting may
-    be absent, a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, or the one set as checkpoint folder, which all executors share; only in local
+    mode, where both may be absent, a temporary folder that goes with the process."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if where is None:
         sc = spark.sparkContext
         if not (sc.master == "local" or sc.master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = sc.getCheckpointDir() or tempfile.mkdtemp(prefix="textloom-")
+        where = tempfile.mkdtemp(prefix="textloom-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
+        sc.setCheckpointDir(where)
     return where
 
 
@@ -25,3 +29,9 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that is no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

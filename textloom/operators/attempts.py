@@ -26,7 +26,9 @@ def valid_response(status, content_type, url):
     return (status == 200) & ~F.coalesce(content_type, F.lit("")).startswith("text/html") & url.isNotNull() & ~F.coalesce(F.contains(url, F.lit("play.google.com")), F.lit(False))
 
 
-def after_marker(df: DataFrame, key: str, order: str, marker: str) -> DataFrame:
-    """The rows from the first one whose key is the marker on."""
-    at = df.where(F.col(key) == marker).agg(F.min(order).alias("__at"))  # one row
-    return df.crossJoin(F.broadcast(at)).where(F.col(order) >= F.col("__at")).drop("__at")
+def after_marker(df: DataFrame, key: str, order: str | list[str], marker: str) -> DataFrame:
+    """The rows from the first one whose key is the marker on. Rows stand in the order of these columns; for the place of every
+    row to be known, no two may have them equal."""
+    place = F.struct(*([order] if isinstance(order, str) else order))
+    at = df.where(F.col(key) == marker).agg(F.min(place).alias("__at"))  # one row
+    return df.crossJoin(F.broadcast(at)).where(place >= F.col("__at")).drop("__at")

@@ -40,11 +40,11 @@ def merge_counts(*parts: DataFrame) -> DataFrame:
 
 
 def ambiguity(counts: DataFrame) -> DataFrame:
-    """(left, n, total, variance): the population variance of each value's counts, from exact integer sums."""
+    """(left, n, total, total_squared, variance): the population variance of each value's counts, from exact integer sums."""
     n, s, q = F.count(F.lit(1)), F.sum("count"), F.sum(F.col("count") * F.col("count"))
     g = counts.groupBy("left").agg(n.alias("n"), s.alias("total"), q.alias("squares"))
     v = (F.col("n") * F.col("squares") - F.col("total") * F.col("total")).cast("double") / (F.col("n") * F.col("n")).cast("double")
-    return g.select("left", "n", "total", F.round(v, 9).alias("variance"))
+    return g.select("left", "n", "total", (F.col("total") * F.col("total")).alias("total_squared"), F.round(v, 9).alias("variance"))
 
 
 def ambiguity_floor(counts: DataFrame) -> DataFrame:
@@ -69,6 +69,12 @@ def scores(counts: DataFrame) -> DataFrame:
     return counts.select("left", "right", F.round(F.least(F.lit(10.0), F.greatest(F.lit(0.0), F.ln(x))), 9).alias("score"))
 
 
+def score_ambiguity(scored: DataFrame) -> DataFrame:
+    """(left, n, total, deviation): the same over the scores, the second pass, as a standard deviation."""
+    g = scored.groupBy("left").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("total"), F.var_pop("score").alias("v"))
+    return g.select("left", "n", F.round("total", 6).alias("total"), F.round(F.sqrt("v"), 6).alias("deviation"))
+
+
 def translations(counts: DataFrame) -> DataFrame:
     """(left, others): the index from a value to those it occurs with and how often, most frequent first."""
     item = F.struct((-F.col("count")).alias("c"), F.col("right").alias("other"))

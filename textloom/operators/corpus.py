@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import murmur64a, unsigned_order
-from textloom.functions.text import clean_tokens, english_locale
+from textloom.functions.text import clean_tokens, english_locale, has_tokens
 from textloom.lineage import cut
 
 
@@ -88,7 +88,8 @@ def index_positions(index: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 def clean_corpus(df: DataFrame, app: str, key: str, locale: str, value: str) -> dict[str, DataFrame]:
     """The cleaned corpus of resource strings in its four forms: ``clean`` (app, key, clean), ``pairs`` (clean and raw hash),
     ``english`` (hashes of English rows) and ``groups`` (hash of the key, hash of the value)."""
-    rows = df.select(F.col(app).alias("app"), F.col(key).alias("key"), F.col(locale).alias("locale"), F.col(value).alias("value"), F.trim(clean_tokens(F.col(value))).alias("clean")).where("clean <> ''")
+    # emptiness is told of the raw value: a filter on the cleaned one would be pushed down and clean again
+    rows = df.where(has_tokens(F.col(value))).select(F.col(app).alias("app"), F.col(key).alias("key"), F.col(locale).alias("locale"), F.col(value).alias("value"), F.trim(clean_tokens(F.col(value))).alias("clean"))
     h = rows.select("*", murmur64a(F.col("clean")).alias("clean_hash"), murmur64a(F.concat(F.col("locale"), F.lit("\t"), F.col("value"))).alias("raw_hash"), murmur64a(F.concat(F.col("app"), F.lit("\t"), F.col("key"))).alias("key_hash"))
     return {
         "clean": rows.select("app", "key", "clean"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from textloom.functions.dom import Element, parse, select
+from textloom.functions.text import first_date
 
 ELEMENTS = "array<struct<tag:string,text:string,own_text:string,attrs:map<string,string>>>"
 _KIND = pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string()), ("own_text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))
@@ -35,7 +36,8 @@ def attributes(html: Column, selector: list, name: str) -> Column:
 
 
 class Plan(dict):
-    """A record's fields: name -> (selector, what), what being ``text``, ``texts``, ``attr:<name>`` or ``attrs:<name>``."""
+    """A record's fields: name -> (selector, what), what being ``text``, ``texts``, ``attr:<name>``,
+    ``attrs:<name>`` or ``last:<name>``, the last part of an attribute that is a path."""
 
     def schema(self) -> str:
         return "struct<" + ",".join(f"`{k}`:" + ("array<string>" if w.split(":")[0] in ("texts", "attrs") else "string") for k, (_, w) in self.items()) + ">"
@@ -46,7 +48,8 @@ class Plan(dict):
             found = select(root, s)
             kind, _, name = what.partition(":")
             values = [e.text() for e in found] if kind in ("text", "texts") else [e.attrs[name] for e in found if name in e.attrs]
-            out[k] = values if kind in ("texts", "attrs") else (values[0] if values else None)
+            one = values[0] if values else None
+            out[k] = values if kind in ("texts", "attrs") else one.rstrip("/").rpartition("/")[2] if one and kind == "last" else one
         return out
 
 
@@ -60,21 +63,27 @@ def record(html: Column, plan: Plan) -> Column:
     return F.arrow_udf(run, plan.schema())(html)
 
 
-#: A store page: fourteen fields, versions apart (``versions``).
+_MAKER = ["attr=", "itemtype", "http://schema.org/Organization"]
+_CATEGORY = ["any-path", ["parent", ["parent", ["any-pos", ["class", "additional"]]]], ["and", ["tag", "a"], ["attr*", "title", "Download more"]]]
+_SHOT = ["any-path", ["path", ["and", ["tag", "div"], ["class", "describe"]], ["and", ["tag", "div"], ["class", "describe-img"]]], ["and", ["tag", "a"], ["attr=", "target", "_blank"]]]
+#: A store page: its fields, versions apart (``STORE_VERSIONS``).
 STORE_PAGE = Plan(
-    thumbnail_url=(["any-path", ["class", "icon"], ["tag", "img"]], "attr:src"),
-    url=(["and", ["tag", "link"], ["attr=", "rel", "canonical"]], "attr:href"),
-    title=(["any-path", ["class", "title-like"], ["tag", "h1"]], "text"),
-    author_name=(["any-path", ["class", "details-author"], ["tag", "a"]], "text"),
-    author_url=(["any-path", ["class", "details-author"], ["tag", "a"]], "attr:href"),
-    download_url=(["and", ["tag", "a"], ["class", "da"]], "attr:href"),
-    description=(["and", ["tag", "div"], ["class", "content"]], "text"),
-    category_url=(["any-path", ["class", "additional"], ["and", ["tag", "a"], ["attr*", "href", "/"]]], "attr:href"),
-    category_tags=(["any-path", ["class", "tag"], ["tag", "a"]], "texts"),
-    appstore_links=(["and", ["tag", "a"], ["attr~", "href", r"play\.google\.com|itunes\.apple\.com"]], "attrs:href"),
-    snapshot_image_urls_800=(["and", ["tag", "a"], ["attr$", "href", "h=800"]], "attrs:href"),
-    screenshot_image_urls_350=(["and", ["tag", "img"], ["attr*", "src", "h=350"]], "attrs:src"),
+    thumbnail_url=(["path", ["and", ["tag", "div"], ["class", "icon"]], ["tag", "img"]], "attr:src"),
+    url=(["and", ["tag", "meta"], ["attr=", "property", "og:url"]], "attr:content"),
+    artifact_name=(["and", ["tag", "meta"], ["attr=", "property", "og:url"]], "last:content"),
+    title=(["and", ["path", ["and", ["tag", "div"], ["class", "title-like"]], ["tag", "h1"]], ["any-pos", ["path", ["and", ["tag", "div"], ["class", "box"]], ["and", ["tag", "dl"], ["class", "ny-dl"]]]]], "text"),
+    author_name=(["any-path", _MAKER, ["tag", "span"]], "text"),
+    author_url=(["path", _MAKER, ["tag", "a"]], "attr:href"),
+    download_url=(["any-pos", ["path", ["and", ["tag", "div"], ["class", "ny-down"]], ["and", ["tag", "a"], ["class", "da"]]]], "attr:href"),
+    description=(["path", ["id", "describe"], ["tag", "div"], ["tag", "div"]], "text"),
+    category_url=(_CATEGORY, "attr:href"),
+    category_tags=(["path", _CATEGORY, ["tag", "span"]], "texts"),
+    appstore_links=(["any-pos", ["and", ["tag", "a"], ["attr*", "ga", "get_it_on"]]], "attrs:href"),
+    snapshot_image_urls_800=(_SHOT, "attrs:href"),
+    screenshot_image_urls_350=(["path", _SHOT, ["tag", "img"]], "attrs:src"),
 )
+#: Where a store page lists versions, and their ``name: value`` rows.
+STORE_VERSIONS = (["path", ["and", ["tag", "ul"], ["class", "ver-wrap"]], ["tag", "li"]], ["and", ["path", ["class", "ver-info-m"], ["tag", "p"]], ["not", ["has", ["tag", "a"]]]])
 
 _VERSION = {"signature": "signature", "sha1": "file_sha1", "file sha1": "file_sha1", "requires android": "android_version", "file size": "file_size", "update on": "updated_on", "updated on": "updated_on"}
 VERSIONS = "array<struct<url:string,signature:string,file_sha1:string,android_version:string,file_size:string,updated_on:string,extra:map<string,string>>>"
@@ -82,7 +91,7 @@ VERSIONS = "array<struct<url:string,signature:string,file_sha1:string,android_ve
 
 def versions(html: Column, item: list, label: list) -> Column:
     """The versions listed on a page: of each element that ``item`` matches its link, and of the elements in it that
-    ``label`` matches their ``name: value`` texts. Names that are not known go to ``extra``."""
+    ``label`` matches their ``name: value`` texts, the date as a timestamp. Names that are not known go to ``extra``."""
     names = ["url", "signature", "file_sha1", "android_version", "file_size", "updated_on"]
     kind = pa.list_(pa.struct([*[(n, pa.string()) for n in names], ("extra", pa.map_(pa.string(), pa.string()))]))
 
@@ -104,7 +113,7 @@ def versions(html: Column, item: list, label: list) -> Column:
     def run(pages: pa.Array) -> pa.Array:
         return pa.array([None if p is None else [one(e) for e in select(parse(p), item)] for p in pages.to_pylist()], kind)
 
-    return F.arrow_udf(run, VERSIONS)(html)
+    return F.transform(F.arrow_udf(run, VERSIONS)(html), lambda v: v.withField("updated_on", first_date(v["updated_on"])))
 
 
 def bullet_map(text: Column) -> Column:
@@ -112,7 +121,7 @@ def bullet_map(text: Column) -> Column:
     keys = F.transform(F.regexp_extract_all(text, F.lit("• ([^:\n]+):([^•\n]*)"), 1), lambda x: F.trim(x))
     values = F.transform(F.regexp_extract_all(text, F.lit("• ([^:\n]+):([^•\n]*)"), 2), lambda x: F.trim(x))
     pairs = F.zip_with(keys, values, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, 1_000_000), lambda q: q["key"] == p["key"]))
+    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs) - i, F.lit(0))), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)
 
 

@@ -80,14 +80,28 @@ def approximate_neighbours(index: DataFrame, queries: DataFrame, id_col: str, ve
     return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "neighbour", "rank", F.round("distance", 6).alias("distance"))
 
 
-def suggest(near: DataFrame, ambiguity: DataFrame, strings: DataFrame, k: int) -> DataFrame:
+def suggest(near: DataFrame, ambiguity: DataFrame, strings: DataFrame, k: int, raw: DataFrame | None = None, translations: DataFrame | None = None) -> DataFrame:
     """Of each query's neighbours the ``k`` least ambiguous (unknown ambiguity first), with their strings.
 
-    ``ambiguity`` is (id, score), ``strings`` (id, text)."""
+    ``ambiguity`` is (id, score), ``strings`` (id, text). With ``raw`` (id, raw), the raw strings of a clean one, come ``raws``, and with
+    ``translations`` (left, others), an index of counts, ``translations``: text, raws and share of each, the largest first."""
     j = near.join(ambiguity.select(F.col("id").alias("neighbour"), "score"), "neighbour", "left")
     w = Window.partitionBy("query").orderBy(F.asc_nulls_first("score"), "rank")
     j = j.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-    return j.join(strings.select(F.col("id").alias("neighbour"), "text"), "neighbour", "left").select("query", "place", "neighbour", "distance", "score", "text")
+    out = j.join(strings.select(F.col("id").alias("neighbour"), "text"), "neighbour", "left").select("query", "place", "neighbour", "distance", "score", "text")
+    named = strings.select("id", "text")
+    if raw is not None:
+        raws = raw.groupBy("id").agg(F.array_sort(F.collect_set("raw")).alias("raws"))
+        named = named.join(raws, "id", "left")
+        out = out.join(raws.withColumnRenamed("id", "neighbour"), "neighbour", "left")
+    if translations is not None:
+        each = out.select(F.col("neighbour").alias("left")).distinct().join(translations, "left")
+        each = each.select("left", F.explode("others").alias("o"), F.aggregate("others", F.lit(0).cast("long"), lambda s, o: s + o["count"]).alias("all"))
+        each = each.select("left", F.col("o.other").alias("id"), (F.col("o.count") / F.col("all")).alias("share")).join(named, "id", "left")
+        item = F.struct((-F.col("share")).alias("order"), "id", *[c for c in named.columns if c != "id"], "share")
+        lists = each.groupBy("left").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("order")).alias("translations"))
+        out = out.join(lists.withColumnRenamed("left", "neighbour"), "neighbour", "left")
+    return out.select("query", "place", "neighbour", "distance", "score", "text", *[c for c in ("raws", "translations") if c in out.columns])
 
 
 def sentence_vectors(df: DataFrame, tokens: str, size: int = 100, min_count: int = 5, passes: int = 1, seed: int = 1, partitions: int = 1) -> DataFrame:

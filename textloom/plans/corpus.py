@@ -32,10 +32,10 @@ def clean_keyed_rows(t: Tables) -> DataFrame:
     return t("conversations").select("conv_id", "turn", text.clean_last(row, 1).alias("row"))
 
 
-@query("SELECT conv_id, turn, length(role) AS key_end, length(role || chr(9) || turn::VARCHAR) AS turn_end FROM conversations")
+@query("SELECT conv_id, turn, strlen(translate(text, chr(9), ' ')) AS key_end, strlen(translate(text, chr(9), ' ') || chr(9) || role) AS turn_end FROM conversations")
 def tab_split_points(t: Tables) -> DataFrame:
-    """Where the first and the second tab of a row stand."""
-    row = F.concat("role", F.lit("\t"), F.col("turn").cast("string"), F.lit("\t"), F.translate("text", "\t", " "))
+    """Where the first and the second tab of a row stand, in bytes."""
+    row = F.concat(F.translate("text", "\t", " "), F.lit("\t"), "role", F.lit("\t"), F.col("turn").cast("string"))
     return t("conversations").select("conv_id", "turn", text.tab_split_point(row, 1).cast("long").alias("key_end"), text.tab_split_point(row, 2).cast("long").alias("turn_end"))
 
 
@@ -57,11 +57,11 @@ def xml_values(t: Tables) -> DataFrame:
     return t("documents").select("doc_id", text.xml_value(F.col("text")).alias("text"))
 
 
-@query("SELECT doc_id // 100 AS file, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS pos, source || chr(9) || replace(text, chr(10), '\\n') || chr(9) || lang || chr(9) || doc_id AS row FROM documents WHERE NOT contains(text, chr(9))")
+@query("SELECT doc_id // 100 AS file, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) - 1 AS pos, source || chr(9) || replace(translate(text, chr(9), ' '), chr(10), '\\n') || chr(9) || lang || chr(9) || doc_id AS row FROM documents")
 def repair_rows(t: Tables) -> DataFrame:
     """TSV files of a hundred rows whose second field holds line feeds, taken apart and repaired."""
-    d = t("documents").where(~F.contains("text", F.lit("\t")))
-    line = F.concat(F.col("source"), F.lit("\t"), F.col("text"), F.lit("\t"), F.col("lang"), F.lit("\t"), F.col("doc_id").cast("string"))
+    d = t("documents")
+    line = F.concat(F.col("source"), F.lit("\t"), F.translate("text", "\t", " "), F.lit("\t"), F.col("lang"), F.lit("\t"), F.col("doc_id").cast("string"))
     whole = d.groupBy(F.expr("doc_id div 100").alias("file")).agg(F.sort_array(F.collect_list(F.struct("doc_id", line.alias("line")))).alias("r"))
     whole = whole.select("file", F.array_join(F.transform("r", lambda x: x["line"]), "\n").alias("tsv"))
     return whole.select("file", F.posexplode(text.fix_rows(F.col("tsv"))).alias("pos", "row")).withColumn("pos", F.col("pos").cast("long"))
@@ -238,10 +238,10 @@ def sha256_group(t: Tables) -> DataFrame:
     return t("nation").groupBy("n_regionkey").agg(hashing.sha256_list(F.array_sort(F.collect_list("n_name"))).alias("digest"))
 
 
-@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS page, text || '</html>' AS html FROM documents WHERE NOT contains(text, '</html>') AND text <> ''")
+@query("SELECT doc_id, row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS page, replace(coalesce(text, ''), '</html>', '') || '</html>' AS html FROM documents")
 def html_archive_split(t: Tables) -> DataFrame:
     """Archives of a hundred pages each, concatenated and taken apart again."""
-    d = t("documents").where(~F.contains("text", F.lit("</html>")) & (F.col("text") != ""))
+    d = t("documents").select("doc_id", F.replace(F.coalesce("text", F.lit("")), F.lit("</html>"), F.lit("")).alias("text"))
     rows = F.sort_array(F.collect_list(F.struct("doc_id", "text")))
     a = d.groupBy(F.expr("doc_id div 100").alias("file")).agg(rows.alias("r")).select(F.transform("r", lambda x: x["doc_id"]).alias("ids"), F.array_join(F.transform("r", lambda x: F.concat(x["text"], F.lit("</html>"))), "").alias("archive"))
     p = a.select("ids", F.posexplode(files.split_pages(F.col("archive"))).alias("i", "html"))
@@ -272,8 +272,9 @@ def unique_inverse(t: Tables) -> DataFrame:
     return bags.dense_ids(t("customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", "inverse").select("c_custkey", "c_mktsegment", "inverse")
 
 
-@query("SELECT page_id, 'v' || page_id AS value FROM pages")
+@query("SELECT page_id, url AS value FROM pages UNION ALL SELECT page_id, 'v' || page_id FROM pages")
 def xml_attribute_scan(t: Tables) -> DataFrame:
     """An attribute's values in XML texts."""
-    xml = F.concat(F.lit('<r><a useragent="v'), F.col("page_id").cast("string"), F.lit('"/><a/></r>'))
+    url = F.replace(text.xml_escape(F.col("url")), F.lit('"'), F.lit("&quot;"))
+    xml = F.concat(F.lit('<r><b><a x="1" useragent="'), url, F.lit('"/></b><a/><!-- useragent="no" --><a useragent="v'), F.col("page_id").cast("string"), F.lit('"/></r>'))
     return t("pages").select("page_id", F.explode(text.xml_attributes(xml, "useragent")).alias("value"))

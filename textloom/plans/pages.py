@@ -38,11 +38,11 @@ def html_select_path(t: Tables) -> DataFrame:
     return t("pages").select("page_id", F.size(e).cast("long").alias("nav_links"))
 
 
-@query("SELECT page_id, len(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<li>')) - 1 AS later FROM pages WHERE contains(html, '<nav><ul><li>')")
+@query("SELECT page_id, greatest(0, len(regexp_extract_all(regexp_extract(html, '<nav>.*?</nav>', 0, 's'), '<li>')) - 1) AS later FROM pages")
 def html_select_siblings(t: Tables) -> DataFrame:
     """List items with one just before them."""
     e = html.html_select(F.col("html"), ["and", ["tag", "li"], ["next", ["tag", "li"]], ["path", ["tag", "nav"], ["tag", "ul"], ["tag", "li"]]])
-    return t("pages").where(F.contains("html", F.lit("<nav><ul><li>"))).select("page_id", F.size(e).cast("long").alias("later"))
+    return t("pages").select("page_id", F.size(e).cast("long").alias("later"))
 
 
 @query(f"SELECT page_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang, trim({_PLAIN.format(chr(114) + 'egexp_extract(html, ' + chr(39) + '<h1>([^<]*)</h1>' + chr(39) + ', 1)')}) AS heading, len(regexp_extract_all(html, '<a href=')) AS links FROM pages")

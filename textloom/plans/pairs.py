@@ -42,7 +42,7 @@ def merge_partial_counts(t: Tables) -> DataFrame:
     return cooc.merge_counts(*[cooc.pairs(x.where(c), "l_orderkey", "l_partkey") for c in ("l_returnflag = 'N'", "l_returnflag <> 'N'")])
 
 
-@query(f"""SELECT "left", n, total, round((n * squares - total * total)::DOUBLE / (n * n)::DOUBLE, 9) AS variance FROM (SELECT "left", count(*) AS n, sum(count)::BIGINT AS total, sum(count * count)::BIGINT AS squares FROM {_PAIRS} GROUP BY "left")""")
+@query(f"""SELECT "left", n, total, total * total AS total_squared, round((n * squares - total * total)::DOUBLE / (n * n)::DOUBLE, 9) AS variance FROM (SELECT "left", count(*) AS n, sum(count)::BIGINT AS total, sum(count * count)::BIGINT AS squares FROM {_PAIRS} GROUP BY "left")""")
 def ambiguity_var(t: Tables) -> DataFrame:
     return cooc.ambiguity(_pairs(t))
 
@@ -62,6 +62,12 @@ def ambiguity_score(t: Tables) -> DataFrame:
     return cooc.scores(_pairs(t))
 
 
+@query(f"""WITH p AS (SELECT "left", "right", count, count(*) OVER w AS n, (sum(count) OVER w)::BIGINT AS s, (sum(count * count) OVER w)::BIGINT AS q FROM {_PAIRS} WINDOW w AS (PARTITION BY "left")), x AS (SELECT *, sqrt((n * q - s * s)::DOUBLE / (n * n)::DOUBLE) * count / s AS x FROM p), y AS (SELECT "left", round(least(10.0, greatest(0.0, ln(CASE WHEN x <= 0 THEN 1.0 ELSE x END))), 9) AS score FROM x) SELECT "left", count(*) AS n, round(sum(score), 6) AS total, round(sqrt(var_pop(score)), 6) AS deviation FROM y GROUP BY "left" """)
+def score_ambiguity(t: Tables) -> DataFrame:
+    """The second pass: how much each part's scores vary."""
+    return cooc.score_ambiguity(cooc.scores(_pairs(t)))
+
+
 @query(f"""SELECT "left", string_agg("right" || ':' || count, ' ' ORDER BY count DESC, "right") AS others FROM {_PAIRS} GROUP BY "left" """)
 def translation_index(t: Tables) -> DataFrame:
     x = cooc.translations(_pairs(t))
@@ -80,7 +86,7 @@ _WORDS = f"(SELECT source, doc_id, unnest(list_distinct(list_filter(string_split
 @query(f"""
 WITH c AS (SELECT source, term, count(*) AS count FROM {_WORDS} GROUP BY ALL),
 v AS (SELECT term, count(*) AS n, sum(count)::BIGINT AS total, sum(count * count)::BIGINT AS squares FROM c GROUP BY term)
-SELECT term, n, total, round((n * squares - total * total)::DOUBLE / (n * n)::DOUBLE, 9) AS variance FROM v ORDER BY variance DESC, term LIMIT 100""")
+SELECT term, n, total, total * total AS total_squared, round((n * squares - total * total)::DOUBLE / (n * n)::DOUBLE, 9) AS variance FROM v ORDER BY variance DESC, term LIMIT 100""")
 def ambiguous_terms(t: Tables) -> DataFrame:
     """The hundred terms whose document counts vary most between sources: cleaning, tokens, counts and ambiguity in one plan."""
     d = t("documents").select("source", F.explode(F.array_distinct(text.words(F.col("text")))).alias("term"))
@@ -162,10 +168,11 @@ def english_semijoin(t: Tables) -> DataFrame:
     return t("documents").join(t("labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("SELECT doc_id, source FROM documents WHERE source IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT name FROM (SELECT CASE WHEN doc_id % 7 > 0 THEN doc_id::VARCHAR END AS name FROM documents) WHERE name IS NOT NULL AND name NOT IN (SELECT doc_id::VARCHAR FROM labels)")
 def seen_antijoin(t: Tables) -> DataFrame:
-    d = t("documents").where("source is not null").select("doc_id", "source")
-    return d.join(t("labels").select("doc_id"), "doc_id", "left_anti")
+    """Named items that no line of a log names; some items have no name, and the log's lines have blanks around them."""
+    items = t("documents").select(F.when(F.col("doc_id") % 7 > 0, F.col("doc_id").cast("string")).alias("name"))
+    return attempts.unseen(items, t("labels").select(F.concat(F.lit("  "), "doc_id", F.lit(" ")).alias("name")), "name")
 
 
 @query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels")
@@ -216,14 +223,14 @@ def knn_lsh(t: Tables) -> DataFrame:
     return vectors.approximate_neighbours(t("embeddings"), t("embeddings"), "vec_id", "embedding", 10)
 
 
-@query(f"""{_KNN}, w AS (SELECT doc_id, term, count(*) AS count FROM (SELECT doc_id, unnest(list_filter(string_split({CLEAN}, ' '), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL),
+@query(f"""{_KNN.replace('rank <= 10', 'rank <= 50')}, w AS (SELECT doc_id, term, count(*) AS count FROM (SELECT doc_id, unnest(list_filter(string_split({CLEAN}, ' '), lambda x: x <> '')) AS term FROM documents) GROUP BY ALL),
 a AS (SELECT doc_id, count(*) AS n, sum(count)::BIGINT AS s, sum(count * count)::BIGINT AS q FROM w GROUP BY doc_id),
 s AS (SELECT doc_id, round((n * q - s * s)::DOUBLE / (n * n)::DOUBLE, 9) AS score FROM a),
 r AS (SELECT query, neighbour, distance, score, row_number() OVER (PARTITION BY query ORDER BY score NULLS FIRST, rank) AS place FROM near LEFT JOIN s ON neighbour = doc_id)
 SELECT query, place::INT AS place, neighbour, distance, score, text FROM r LEFT JOIN documents ON neighbour = doc_id WHERE place <= 5""")
 def suggest(t: Tables) -> DataFrame:
-    """For every vector the five least ambiguous of its ten nearest, with their texts; a text's ambiguity is the variance of its word counts."""
-    near = vectors.neighbours(t("embeddings"), t("embeddings"), "vec_id", "embedding", 10)
+    """For every vector the five least ambiguous of its fifty nearest, with their texts; a text's ambiguity is the variance of its word counts."""
+    near = vectors.neighbours(t("embeddings"), t("embeddings"), "vec_id", "embedding", 50)
     w = t("documents").select(F.col("doc_id").alias("left"), F.explode(text.words(F.col("text"))).alias("term")).groupBy("left", "term").agg(F.count(F.lit(1)).alias("count"))
     amb = cooc.ambiguity(w).select(F.col("left").alias("id"), F.col("variance").alias("score"))
     return vectors.suggest(near, amb, t("documents").select(F.col("doc_id").alias("id"), "text"), 5)
@@ -238,15 +245,15 @@ def retry_ttl(t: Tables) -> DataFrame:
     return attempts.fold(e, "user_id", "event_id", "done").select("event_id", "user_id", F.col("attempt").cast("int").alias("attempt"), "done", "left")
 
 
-@query("WITH m AS (SELECT min(ts) AS since FROM events WHERE event_type = 'signup') SELECT event_id, event_type FROM events, m WHERE ts >= since")
+@query("WITH e AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS pos FROM events), m AS (SELECT min(pos) AS since FROM e WHERE event_type = 'signup') SELECT event_id, event_type FROM e, m WHERE pos >= since")
 def resume_after_marker(t: Tables) -> DataFrame:
-    return attempts.after_marker(t("events").select("event_id", "event_type", "ts"), "event_type", "ts", "signup").select("event_id", "event_type")
+    return attempts.after_marker(t("events").select("event_id", "event_type", "ts"), "event_type", ["ts", "event_id"], "signup").select("event_id", "event_type")
 
 
-@query("SELECT event_id, (value > 50 AND event_type <> 'error') AS valid FROM events")
+@query("SELECT event_id, (value > 50 AND event_type <> 'error' AND user_id % 3 = 0) AS valid FROM events")
 def response_validity(t: Tables) -> DataFrame:
     """Which downloads answered with a file."""
-    ok = attempts.valid_response(F.when(F.col("value") > 50, 200).otherwise(404), F.when(F.col("event_type") == "error", F.lit("text/html")).otherwise(F.lit("application/zip")), F.lit("https://example.com/a"))
+    ok = attempts.valid_response(F.when(F.col("value") > 50, 200).otherwise(404), F.when(F.col("event_type") == "error", F.lit("text/html")).otherwise(F.lit("application/zip")), F.when(F.col("user_id") % 3 == 0, F.lit("https://example.com/a")).when(F.col("user_id") % 3 == 1, F.lit("https://play.google.com/store/apps")))
     return t("events").select("event_id", ok.alias("valid"))
 
 
@@ -268,10 +275,17 @@ def xor_decode(t: Tables) -> DataFrame:
     return t("lineitem").select("l_orderkey", "l_linenumber", text.xor_fold(e).alias("port"))
 
 
-@query("SELECT p_partkey, list_filter([CASE WHEN p_size & 1 <> 0 THEN 'public' END, CASE WHEN p_size & 2 <> 0 THEN 'private' END, CASE WHEN p_size & 4 <> 0 THEN 'protected' END, CASE WHEN p_size & 8 <> 0 THEN 'static' END, CASE WHEN p_size & 16 <> 0 THEN 'final' END, CASE WHEN p_size & 32 <> 0 THEN 'synchronized' END], lambda x: x IS NOT NULL).array_to_string(' ') AS flags FROM part")
+@query("SELECT l_orderkey, l_linenumber, xor(l_partkey, b) * 100 + xor(c, 7) * 10 + l_linenumber AS port FROM (SELECT *, xor(b, 5) AS c FROM (SELECT *, xor(l_partkey, l_suppkey) AS b FROM lineitem))")
+def xor_ports(t: Tables) -> DataFrame:
+    """Numbers given by their digits, as XOR expressions over a script's constants."""
+    script = F.concat(F.lit("a="), "l_partkey", F.lit(";b=a^"), "l_suppkey", F.lit(";;c=b^5;"))
+    digits = F.concat(F.lit("+(a^b)+(c^7)+("), "l_linenumber", F.lit(")"))
+    return t("lineitem").select("l_orderkey", "l_linenumber", text.xor_digits(digits, text.xor_constants(script)).alias("port"))
+
+
+@query("SELECT p_partkey, array_to_string(list_filter([" + ", ".join(f"CASE WHEN (p_partkey * 7919) & {m} <> 0 THEN '{n}' END" for m, n in text.ACCESS) + "], lambda x: x IS NOT NULL), ' ') AS flags FROM part")
 def access_flags(t: Tables) -> DataFrame:
-    names = {k: v for k, v in text.ACCESS.items() if k <= 0x20}
-    return t("part").select("p_partkey", F.array_join(text.flag_names(F.col("p_size"), names), " ").alias("flags"))
+    return t("part").select("p_partkey", F.array_join(text.flag_names(F.col("p_partkey") * 7919, text.ACCESS), " ").alias("flags"))
 
 
 @query("SELECT event_id, event_type, CASE event_id % 3 WHEN 0 THEN 'build' WHEN 1 THEN 'runtime' ELSE 'system' END AS visibility FROM events")
@@ -292,10 +306,11 @@ def first_dates(t: Tables) -> DataFrame:
     return t("orders").select("o_orderkey", F.date_format(text.first_date(s), "yyyy-MM-dd").alias("day"))
 
 
-@query("SELECT n_nationkey, lower(substr(n_name, 1, 2)) AS language, substr(n_name, 1, 2) AS region, '-' || lower(substr(n_name, 1, 2)) || '-r' || substr(n_name, 1, 2) AS qualifier FROM nation")
+@query("""WITH n AS (SELECT n_nationkey, lower(substr(n_name, 1, 2)) AS language, CASE WHEN n_nationkey % 2 = 0 THEN substr(n_name, 1, 2) END AS region, CASE WHEN n_nationkey % 3 = 0 THEN 'Latn' END AS script, CASE WHEN n_nationkey % 5 = 0 THEN 'POSIX' END AS variant FROM nation)
+SELECT n_nationkey, language, region, script, variant, CASE WHEN script IS NULL AND variant IS NULL THEN '-' || language || coalesce('-r' || region, '') ELSE '-b+' || language || coalesce('+' || script, '') || coalesce('+' || region, '') || coalesce('+' || variant, '') END AS qualifier FROM n""")
 def locale_round(t: Tables) -> DataFrame:
-    """Locale qualifiers written and read again."""
-    lang, region = F.lower(F.substring("n_name", 1, 2)), F.substring("n_name", 1, 2)
-    q = text.locale_string(lang, region, F.lit(None).cast("string"), F.lit(None).cast("string"))
+    """Locale qualifiers, with and without region, script and variant, written and read again."""
+    n, two = F.col("n_nationkey"), F.substring("n_name", 1, 2)
+    q = text.locale_string(F.lower(two), F.when(n % 2 == 0, two), F.when(n % 3 == 0, F.lit("Latn")), F.when(n % 5 == 0, F.lit("POSIX")))
     p = text.locale_parts(q)
-    return t("nation").select("n_nationkey", p["language"].alias("language"), p["region"].alias("region"), q.alias("qualifier"))
+    return t("nation").select("n_nationkey", *[p[k].alias(k) for k in ("language", "region", "script", "variant")], q.alias("qualifier"))

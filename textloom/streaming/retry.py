@@ -13,13 +13,19 @@ from textloom.operators.attempts import TTL
 OUT = "job long, attempt int, done boolean, left int"
 
 
-def fold_stream(events: DataFrame, job: str, order: str, success: str, ttl: int = TTL) -> DataFrame:
-    """Attempts that count, as they come: state is one counter per job, dropped when the job is over for good.
+def fold_stream(events: DataFrame, job: str, order: str, success: str, ttl: int = TTL, forget: str = "7 days") -> DataFrame:
+    """Attempts that count, as they come: state is one counter per job, dropped when nothing has come for the job for as long as
+    ``forget`` says (attempts that come later count anew).
 
     Within a micro-batch attempts are taken in order; across batches they must arrive in order."""
+    silent = int(pd.Timedelta(forget).total_seconds() * 1000)
+
     from pyspark.sql.streaming.state import GroupState
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         n, over = state.get if state.exists else (0, False)
         out = []
         for row in pd.concat(list(frames)).sort_values("o").itertuples():
@@ -29,10 +35,11 @@ def fold_stream(events: DataFrame, job: str, order: str, success: str, ttl: int
             over = bool(row.s)
             out.append((key[0], n, over, ttl + 1 - n))
         state.update((n, over))
+        state.setTimeoutDuration(silent)
         yield pd.DataFrame(out, columns=["job", "attempt", "done", "left"])
 
     e = events.select(F.col(job).cast("long").alias("job"), F.col(order).alias("o"), F.col(success).alias("s"))
-    return e.groupBy("job").applyInPandasWithState(step, OUT, "n int, over boolean", "append", "NoTimeout")
+    return e.groupBy("job").applyInPandasWithState(step, OUT, "n int, over boolean", "append", "ProcessingTimeTimeout")
 
 
 def unseen_stream(items: DataFrame, name: str, at: str, delay: str = "1 hour") -> DataFrame:
