@@ -140,6 +140,24 @@ def test_attempts_batch_and_stream(spark, tmp_path):
     assert {(r.job, r.attempt, r.done, r.left) for r in spark.table("folded").collect()} == want
 
 
+def test_stream_that_forgets(spark, tmp_path):
+    from time import monotonic, sleep
+
+    schema = "o int, job long, ok boolean"
+    spark.createDataFrame([(1, 7, True)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = retry.fold_stream(s, "job", "o", "ok", forget="1 second").writeStream.format("memory").queryName("forgetful").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").start()
+    end, sent = monotonic() + 60, False
+    while monotonic() < end and spark.table("forgetful").count() < 2:
+        sleep(3)
+        if not sent and spark.table("forgetful").count():
+            sleep(5)
+            spark.createDataFrame([(2, 7, False)], schema).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+            sent = True
+    q.stop()
+    assert sorted((r.attempt, r.done) for r in spark.table("forgetful").collect()) == [(1, False), (1, True)]
+
+
 def test_streams(spark, tmp_path):
     d = spark.createDataFrame([("2024-01-01 00:00:00", "a"), ("2024-01-01 00:10:00", "a"), ("2024-01-01 00:20:00", "b"), ("2024-01-02 00:00:00", None)], "t string, n string").select(F.to_timestamp("t").alias("t"), "n")
     d.coalesce(1).write.parquet(f"{tmp_path}/in")

@@ -13,12 +13,13 @@ from textloom.operators.attempts import TTL
 OUT = "job long, attempt int, done boolean, left int"
 
 
-def fold_stream(events: DataFrame, job: str, order: str, success: str, ttl: int = TTL, forget: str = "7 days") -> DataFrame:
-    """Attempts that count, as they come: state is one counter per job, dropped when nothing has come for the job for as long as
-    ``forget`` says (attempts that come later count anew).
+def fold_stream(events: DataFrame, job: str, order: str, success: str, ttl: int = TTL, forget: str | None = None) -> DataFrame:
+    """Attempts that count, as they come: state is one counter per job.
 
-    Within a micro-batch attempts are taken in order; across batches they must arrive in order."""
-    silent = int(pd.Timedelta(forget).total_seconds() * 1000)
+    Within a micro-batch attempts are taken in order; across batches they must arrive in order. Counters stay for ever unless
+    ``forget`` (as "7 days") drops those of jobs for which nothing has come that long; attempts that come later count anew. A
+    stream that forgets runs batches without end to see the time pass, so it never ends by itself under ``availableNow``."""
+    silent = None if forget is None else int(pd.Timedelta(forget).total_seconds() * 1000)
 
     from pyspark.sql.streaming.state import GroupState
 
@@ -35,11 +36,12 @@ def fold_stream(events: DataFrame, job: str, order: str, success: str, ttl: int
             over = bool(row.s)
             out.append((key[0], n, over, ttl + 1 - n))
         state.update((n, over))
-        state.setTimeoutDuration(silent)
+        if silent is not None:
+            state.setTimeoutDuration(silent)
         yield pd.DataFrame(out, columns=["job", "attempt", "done", "left"])
 
     e = events.select(F.col(job).cast("long").alias("job"), F.col(order).alias("o"), F.col(success).alias("s"))
-    return e.groupBy("job").applyInPandasWithState(step, OUT, "n int, over boolean", "append", "ProcessingTimeTimeout")
+    return e.groupBy("job").applyInPandasWithState(step, OUT, "n int, over boolean", "append", "NoTimeout" if silent is None else "ProcessingTimeTimeout")
 
 
 def unseen_stream(items: DataFrame, name: str, at: str, delay: str = "1 hour") -> DataFrame:
