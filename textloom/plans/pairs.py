@@ -168,10 +168,10 @@ def english_semijoin(t: Tables) -> DataFrame:
     return t("documents").join(t("labels").where("quality = 1"), "doc_id", "left_semi").select("doc_id", "lang")
 
 
-@query("SELECT name FROM (SELECT CASE WHEN doc_id % 7 > 0 THEN doc_id::VARCHAR END AS name FROM documents) WHERE name IS NOT NULL AND name NOT IN (SELECT doc_id::VARCHAR FROM labels)")
+@query("SELECT doc_id::VARCHAR AS name FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def seen_antijoin(t: Tables) -> DataFrame:
-    """Named items that no line of a log names; some items have no name, and the log's lines have blanks around them."""
-    items = t("documents").select(F.when(F.col("doc_id") % 7 > 0, F.col("doc_id").cast("string")).alias("name"))
+    """Named items that no line of a log names; beside every item stands one without a name, and the log's lines have blanks around them."""
+    items = t("documents").select(F.explode(F.array(F.col("doc_id").cast("string"), F.lit(None).cast("string"))).alias("name"))
     return attempts.unseen(items, t("labels").select(F.concat(F.lit("  "), "doc_id", F.lit(" ")).alias("name")), "name")
 
 
