@@ -1,3 +1,4 @@
+import os
 import random
 from itertools import combinations
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from textloom import catalog
 from textloom.functions import hashing
 from textloom.operators import attempts, bags, cooc, corpus, vectors
 from textloom.streaming import retry
@@ -109,6 +111,26 @@ def test_neighbours(spark, sf):
     assert len(near & want) >= 0.9 * len(want)
 
 
+def test_neighbours_are_compared_in_bounded_groups(spark, sf, monkeypatch):
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.where("vec_id % 100 = 0")
+    for search in (vectors.neighbours, vectors.approximate_neighbours):
+        plan = search(e, q, "vec_id", "embedding", 10)._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and "CartesianProduct" not in plan
+    whole = vectors.neighbours(e, q, "vec_id", "embedding", 10).collect()
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    assert sorted(vectors.neighbours(e, q, "vec_id", "embedding", 10).collect()) == sorted(whole)
+    assert {r["query"] for r in catalog.queries()["knn_lsh"](spark, sf).collect()} == {r.vec_id for r in q.collect()}
+
+
+def test_recall_of_hashing(spark):
+    big = "/root/testdata/sf0.1"
+    if not os.path.exists(big):
+        pytest.skip("no test data")
+    near = {k: {(r["query"], r.neighbour) for r in catalog.queries()[k](spark, big).collect()} for k in ("knn_lsh", "knn_angular")}
+    assert len(near["knn_lsh"] & near["knn_angular"]) >= 0.9 * len(near["knn_angular"])
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, 0.0]), (5, [0.0, 2.0])]
     e = spark.createDataFrame(rows, "i long, v array<float>")
