@@ -13,21 +13,21 @@ ELEMENTS = "array<struct<tag:string,text:string,own_text:string,attrs:map<string
 _KIND = pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string()), ("own_text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))
 
 
-def html_select(html: Column, selector: list) -> Column:
-    """All elements that a selector matches, in document order, with text and attributes."""
+def html_select(html: Column, selector: list, loose: bool = True) -> Column:
+    """All elements that a selector matches, in document order, with text and attributes; ``loose`` as for ``dom.parse``."""
 
     def run(pages: pa.Array) -> pa.Array:
         out = []
         for p in pages.to_pylist():
-            out.append(None if p is None else [{"tag": e.tag, "text": e.text(), "own_text": e.own_text(), "attrs": list(e.attrs.items())} for e in select(parse(p), selector)])
+            out.append(None if p is None else [{"tag": e.tag, "text": e.text(), "own_text": e.own_text(), "attrs": list(e.attrs.items())} for e in select(parse(p, loose), selector)])
         return pa.array(out, _KIND)
 
     return F.arrow_udf(run, ELEMENTS)(html)
 
 
-def first_text(html: Column, selector: list) -> Column:
+def first_text(html: Column, selector: list, loose: bool = True) -> Column:
     """The trimmed text of the first match, null if there is none."""
-    return F.try_element_at(html_select(html, selector), F.lit(1))["text"]
+    return F.try_element_at(html_select(html, selector, loose), F.lit(1))["text"]
 
 
 def attributes(html: Column, selector: list, name: str) -> Column:
@@ -53,12 +53,12 @@ class Plan(dict):
         return out
 
 
-def record(html: Column, plan: Plan) -> Column:
-    """One typed record per page; the page is parsed once."""
+def record(html: Column, plan: Plan, loose: bool = True) -> Column:
+    """One typed record per page; the page is parsed once, ``loose`` as for ``dom.parse``."""
     kind = pa.struct([(k, pa.list_(pa.string()) if w.split(":")[0] in ("texts", "attrs") else pa.string()) for k, (_, w) in plan.items()])
 
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else plan.read(parse(p)) for p in pages.to_pylist()], kind)
+        return pa.array([None if p is None else plan.read(parse(p, loose)) for p in pages.to_pylist()], kind)
 
     return F.arrow_udf(run, plan.schema())(html)
 
