@@ -115,3 +115,19 @@ def slow_x86_128(data, seed=0):
 def test_murmur3_x86_128():
     texts = ["", *["abcdefghij klmnopq rstuvwxyz 0123456789"[:n] for n in range(1, 40)]]
     assert hashing.murmur3_x86_128_array(pa.array(texts)).tolist() == [slow_x86_128(t.encode()) for t in texts]
+
+
+def test_tokens_are_hashed_in_strips(monkeypatch):
+    rows = pa.array(["k\ta b", None, "", "x" * 3000 + "\tabc  d", "\u00e9\tq"] * 3)
+    whole, seen = tokens._hash_tokens(rows).to_pylist(), []
+    split = tokens.split_tokens
+    monkeypatch.setattr(tokens, "split_tokens", lambda v, s, n: seen.append(len(v)) or split(v, s, n))
+    monkeypatch.setattr(tokens.strips, "__defaults__", (100,))
+    assert tokens._hash_tokens(rows).to_pylist() == whole and len(seen) > 5 and max(seen) < 3100
+
+
+def test_long_texts_are_hashed_by_themselves(monkeypatch):
+    rows = pa.array(["a" * n for n in (0, 7, 511, 512, 520, 4001)])
+    one = hashing.murmur64a_array(rows)
+    monkeypatch.setattr(hashing, "LONG", 10**9)
+    assert (hashing.murmur64a_array(rows) == one).all()

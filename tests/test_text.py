@@ -3,6 +3,7 @@ import string
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from textloom.functions import text
@@ -103,3 +104,13 @@ def test_locales(spark):
     assert one(spark, text.locale_string(F.lit("sr"), F.lit("RS"), F.lit("Latn"), n)) == "-b+sr+Latn+RS"
     p = one(spark, text.locale_parts(F.lit("-b+sr+Latn+RS")))
     assert (p.language, p.script, p.region, p.variant) == ("sr", "Latn", "RS", None)
+
+
+def test_cleaner_works_in_strips_and_without_lookarounds(spark, monkeypatch):
+    rows = ["", " ", "a", ".", " .a", "Ab\u00e9\u8a9e!!", "\t\n x", "x \x00", "\u00e9", None, "\U0001f600\U0001f600 ok?"]
+    want = ["", " ", "a", ".", " . a", "ab \u00e9 \u8a9e ! !", " x", "x ", "\u00e9", None, "\U0001f600 \U0001f600 ok ?"]
+    assert text._clean(pa.array(rows)).to_pylist() == want
+    monkeypatch.setattr(text.strips, "__defaults__", (3,))
+    assert text._clean(pa.array(["x", *rows])[1:]).to_pylist() == want
+    plan = spark.createDataFrame([("a",)], "s string").select(text.words(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 SEED = 0xDEADBEEF
 _M = np.uint64(0xC6A4A7935BD1E995)
 _R = np.uint64(47)
+LONG = 64
 
 
 def murmur64a_bytes(values: np.ndarray, offsets: np.ndarray, seed: int = SEED) -> np.ndarray:
@@ -18,7 +19,8 @@ def murmur64a_bytes(values: np.ndarray, offsets: np.ndarray, seed: int = SEED) -
 
 
 def murmur64a_spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, seed: int = SEED) -> np.ndarray:
-    """MurmurHash64A of many byte ranges at once: block by block over all ranges that are long enough."""
+    """MurmurHash64A of many byte ranges at once: block by block over all ranges that are long enough, and range by range over those
+    of more than ``LONG`` blocks, so that a few long ones don't take a pass each for every block."""
     size = sizes.astype(np.int64)
     order = np.argsort(-size, kind="stable")
     n, start = size[order], starts[order].astype(np.int64)
@@ -26,13 +28,20 @@ def murmur64a_spans(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray, s
     padded = np.concatenate([values, np.zeros(8, np.uint8)])
     eight = np.arange(8)
     blocks = n // 8
-    left = len(n)
-    for j in range(int(blocks[0]) if len(n) else 0):
-        while left and blocks[left - 1] <= j:
+    long, left = int(np.searchsorted(-blocks, -LONG)), len(n)
+    for i in range(long):
+        k = values[start[i] : start[i] + 8 * blocks[i]].copy().view("<u8") * _M
+        k = (k ^ (k >> _R)) * _M
+        x = int(h[i])
+        for y in k.tolist():
+            x = (x ^ y) * 0xC6A4A7935BD1E995 & 0xFFFFFFFFFFFFFFFF
+        h[i] = x
+    for j in range(int(blocks[long]) if long < len(n) else 0):
+        while left > long and blocks[left - 1] <= j:
             left -= 1
-        k = padded[(start[:left] + 8 * j)[:, None] + eight].view("<u8").ravel() * _M
+        k = padded[(start[long:left] + 8 * j)[:, None] + eight].view("<u8").ravel() * _M
         k = (k ^ (k >> _R)) * _M
-        h[:left] = (h[:left] ^ k) * _M
+        h[long:left] = (h[long:left] ^ k) * _M
     rest = n % 8
     if rest.any():
         tail = padded[(start + 8 * blocks)[:, None] + eight]

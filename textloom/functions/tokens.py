@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions.hashing import _binary, murmur64a_array, murmur64a_spans
-from textloom.functions.text import clean_tokens
+from textloom.functions.text import clean_tokens, strips
 
 _BLANK = np.zeros(256, bool)
 _BLANK[list(b" \t\n\x0b\r\x00")] = True
@@ -47,12 +47,17 @@ def split_tokens(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> tup
 
 def _hash_tokens(texts: pa.Array) -> pa.Array:
     values, start, size = _binary(texts)
-    row, at, n = split_tokens(values, start, size)
-    h = murmur64a_spans(values, at, n).view(np.int64)
-    last = at + n == (start + size)[row]  # the last token of a row has offset and length 0
-    item = pa.StructArray.from_arrays([pa.array(h), pa.array(np.where(last, 0, at - start[row]).astype(np.int32)), pa.array(np.where(last, 0, n).astype(np.int32))], ["hash", "offset", "length"])
-    offsets = np.searchsorted(row, np.arange(len(start) + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), item, mask=texts.is_null())
+    many, parts = [np.zeros(1, np.int64)], [(np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))]
+    for i, j in strips(size):  # the work takes some dozen bytes of memory for each byte
+        first, own = start[i:j] - start[i], size[i:j]
+        v = values[start[i] : start[i] + own.sum()]
+        row, at, n = split_tokens(v, first, own)
+        h = murmur64a_spans(v, at, n).view(np.int64)
+        last = at + n == (first + own)[row]  # the last token of a row has offset and length 0
+        parts.append((h, np.where(last, 0, at - first[row]).astype(np.int32), np.where(last, 0, n).astype(np.int32)))
+        many.append(np.bincount(row, minlength=j - i))
+    item = pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], ["hash", "offset", "length"])
+    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(many)).astype(np.int32)), item, mask=texts.is_null())
 
 
 def hash_tokens(row: Column) -> Column:
@@ -89,8 +94,9 @@ def substitute_names(df: DataFrame, group: list[str], order: list[str], text: st
 
     Tokens of one byte and the last token of a row stay. A group whose rows are copies is dropped (null texts left out):
     with ``drop_verbatim="rows"`` where as many tokens are shared as there are rows, with ``"tokens"`` where all tokens are."""
-    rows = df.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(text).alias("__t")))).alias("__r"))
-    rows = rows.select(*group, F.transform("__r", lambda r: row_tokens(r["__t"])).alias("__rows"))
+    rows = df.select(*group, *order, row_tokens(F.col(text)).alias("__t"), F.col(text).alias("__raw"))
+    rows = rows.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(*order, "__raw", "__t"))).alias("__r"))
+    rows = rows.select(*group, F.transform("__r", lambda r: r["__t"]).alias("__rows"))
     rows = rows.select("*", by_hash(shared_tokens(F.col("__rows"))).alias("__common"))
 
     def mask(t, i, n):
