@@ -39,6 +39,14 @@ def test_runs(spark, sf, name):
     assert Q[name](spark, sf).count() > 0
 
 
+def test_clean_to_raw_crosses_the_network_once(spark, sf, tmp_path):
+    plan = Q["clean_to_raw"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1
+    rows = [("a", "\tc"), ("a\t", "c"), (None, "c"), (None, "c"), ("a", "b"), ("a", "b"), ("a", " ")]
+    spark.createDataFrame(rows, "lang string, text string").toPandas().to_parquet(f"{tmp_path}/documents.parquet")
+    compare(Q["clean_to_raw"](spark, str(tmp_path)), SQL["clean_to_raw"], str(tmp_path))
+
+
 def test_entry(spark, sf):
     import __spark_entry__ as e
 
