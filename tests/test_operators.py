@@ -72,6 +72,20 @@ def test_pairs(spark):
         assert var[left] == pytest.approx(np.var([v for k, v in want.items() if k[0] == left]), abs=1e-8)
 
 
+def test_partitions_of_pairs_follow_the_rows(spark, monkeypatch):
+    d = spark.createDataFrame([(i // 4, i % 7) for i in range(400)], "k int, v int")
+    monkeypatch.setattr(cooc, "ROWS", 10)
+    for found in (cooc.pairs(d, "k", "v"), cooc.occurrence_pairs(d, "k", "v"), cooc.unordered_pairs(d, "k", "v")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(left" in plan and ", 40), REPARTITION_BY_NUM" in plan and "Join" not in plan
+    merged = cooc.merge_counts(cooc.pairs(d, "k", "v"), cooc.pairs(d, "k", "v"), partitions=40)
+    assert {(r.left, r.right): r["count"] for r in merged.collect()} == {(r.left, r.right): 2 * r["count"] for r in cooc.pairs(d, "k", "v").collect()}
+    looked = cooc.lookup_translations(cooc.translations(cooc.pairs(d, "k", "v")), spark.createDataFrame([(1,), (9,)], "k int"), "k")
+    assert "rangepartitioning" not in looked._jdf.queryExecution().executedPlan().toString()
+    rows = [(r.left, r["count"]) for r in looked.collect()]
+    assert [c for k, c in rows if k == 1] == sorted((c for k, c in rows if k == 1), reverse=True) and (9, None) in rows
+
+
 def test_variances(spark):
     d = spark.createDataFrame([(1, i, c) for i, c in enumerate((2, 3, 7))], "left long, right long, count long")
     assert cooc.ambiguity(d).first().variance == pytest.approx(14 / 3, abs=1e-8) and cooc.ambiguity_floor(d).first().variance == 4
