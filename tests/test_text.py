@@ -114,3 +114,10 @@ def test_cleaner_works_in_strips_and_without_lookarounds(spark, monkeypatch):
     assert text._clean(pa.array(["x", *rows])[1:]).to_pylist() == want
     plan = spark.createDataFrame([("a",)], "s string").select(text.words(F.col("s")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_replace" not in plan
+
+
+def test_constants_are_found_once(spark):
+    d = spark.createDataFrame([("a=5;b=a^3;", "+(a^b)+(b)+(7^a)")], "s string, e string")
+    out = d.select(text.xor_digits(F.col("e"), text.xor_constants(F.col("s"))).alias("n"))
+    assert out.first().n == 362
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("map_concat") <= 1
