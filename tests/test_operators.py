@@ -3,11 +3,12 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from textloom import catalog
-from textloom.functions import hashing
+from textloom.functions import hashing, text
 from textloom.operators import attempts, bags, cooc, corpus, vectors
 from textloom.streaming import retry
 
@@ -91,6 +92,25 @@ def test_variances(spark):
     assert cooc.ambiguity(d).first().variance == pytest.approx(14 / 3, abs=1e-8) and cooc.ambiguity_floor(d).first().variance == 4
 
 
+def test_word_counts_of_texts_cross_the_network_as_sums(spark, monkeypatch):
+    texts = ["a b a", "", " ", None, "\ta\u00e9 a,b \u00e9\n", "x" * 3000 + " y" * 2000, "e\u0301 e", "Tail ", " tail", "1 2 2 3 3 3"]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(texts)] + [(None, "a a b")], "id long, text string")
+    w = lambda d: d.where("id is not null").select(F.col("id").alias("left"), F.explode(text.words(F.col("text"))).alias("term")).groupBy("left", "term").agg(F.count(F.lit(1)).alias("count"))
+    for most in (1, 1 << 20):
+        monkeypatch.setattr(text.strips, "__defaults__", (most,))
+        sums = text._word_counts(pa.array(texts)).to_pylist()
+        assert sums[0] == {"n": 2, "total": 3, "squares": 5} and [x["n"] for x in sums[1:4]] == [0, 0, 0] and sums[-1] == {"n": 3, "total": 6, "squares": 14}
+        assert text._word_counts(pa.array([None, ""])).to_pylist() == [{"n": 0, "total": 0, "squares": 0}] * 2 and len(text._word_counts(pa.array([], pa.string()))) == 0
+        assert text._word_counts(pa.array(texts)[4:8]).to_pylist() == sums[4:8]
+    several = d.unionByName(spark.createDataFrame([(0, "a c"), (1, "q"), (2, ""), (3, None), (None, "b")], "id long, text string"))
+    for x in (d, several):
+        got = cooc.text_ambiguity(x, "id", "text")
+        assert sorted(got.collect()) == sorted(cooc.ambiguity(w(x)).collect())
+    monkeypatch.setattr(cooc, "TEXTS", 1)
+    plan = lambda x: cooc.text_ambiguity(x, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate explode" not in plan(d) and "REPARTITION_BY_NUM" not in plan(d) and ", 14), REPARTITION_BY_NUM" in plan(several)
+
+
 def test_bags(spark, tmp_path):
     from textloom.sources import files
 
