@@ -87,6 +87,14 @@ def test_partitions_of_pairs_follow_the_rows(spark, monkeypatch):
     assert [c for k, c in rows if k == 1] == sorted((c for k, c in rows if k == 1), reverse=True) and (9, None) in rows
 
 
+@pytest.mark.parametrize("name", ["ambiguity_score", "ambiguity_var", "score_ambiguity", "translation_index", "translation_prob"])
+def test_scores_stay_in_the_partitions_of_their_pairs(spark, sf, monkeypatch, name):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    monkeypatch.setattr(cooc, "ROWS", 500)
+    plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count(f", {-(-rows // 500)}), REPARTITION_BY_NUM") == 2 and "Join" not in plan
+
+
 def test_variances(spark):
     d = spark.createDataFrame([(1, i, c) for i, c in enumerate((2, 3, 7))], "left long, right long, count long")
     assert cooc.ambiguity(d).first().variance == pytest.approx(14 / 3, abs=1e-8) and cooc.ambiguity_floor(d).first().variance == 4
